@@ -19,6 +19,7 @@ from spendshift.operators.filters import is_material, with_window
 from spendshift.operators.ordering import with_position
 from spendshift.periods import Period
 from spendshift.schemas import TOTAL
+from spendshift.session import settle
 
 KEY = ["provider", "dimension", "key"]
 
@@ -112,102 +113,97 @@ def rank_order() -> list[Column]:
 
 # ------------------------------------------------------------------ description of keys
 
+FACTS = ("service", "sku", "account", "region", "resource", "resource_name", "currency", "day", "tag")
 
-def _first_filled(keyed: DataFrame, column: str) -> DataFrame:
-    """First non-empty value per key by source order (ties to the smaller value)."""
-    firsts = (
-        keyed.filter(F.coalesce(F.col(column), F.lit("")) != "")
-        .groupBy(*KEY, column)
-        .agg(F.min("seq").alias("__seq"))
+
+def key_facts(keyed: DataFrame, kinds: Sequence[str] = FACTS) -> DataFrame:
+    """Distinct attribute values per key with their current cost and first and last sight.
+
+    One scan and one map-side combined shuffle serve every attribute, so the result is as
+    small as the distinct values and a hot key is already folded when it is shuffled.
+    """
+    current = F.col("window") == "current"
+    values = {
+        "service": F.col("service_name"),
+        "sku": F.col("sku_id"),
+        "account": F.col("billing_account_id"),
+        "region": F.col("region_id"),
+        "resource": F.col("resource_id"),
+        "resource_name": F.col("resource_name"),
+        "currency": F.col("currency"),
+        "day": F.when(current, F.date_format("usage_date", "yyyy-MM-dd")),
+    }
+
+    def fact(kind: str, name: Column, value: Column) -> Column:
+        return F.struct(F.lit(kind).alias("fact"), name.alias("name"), value.alias("value"))
+
+    no_name = F.lit(None).cast("string")
+    plain = [fact(kind, no_name, values[kind]) for kind in kinds if kind in values]
+    lists = []
+    if plain:
+        lists.append(F.filter(F.array(*plain), lambda f: F.coalesce(f["value"], F.lit("")) != ""))
+    if "tag" in kinds:
+        tags = F.transform(F.map_entries("tags"), lambda e: fact("tag", e["key"], e["value"]))
+        lists.append(F.filter(F.coalesce(tags, F.array()), lambda f: f["value"].isNotNull()))
+    facts = F.concat(*lists)
+    exploded = keyed.select(
+        *KEY, "seq", F.when(current, F.col("effective_cost")).alias("cost"), F.explode(facts).alias("f")
     )
-    return firsts.groupBy(*KEY).agg(F.min(F.struct("__seq", column)).alias("__first")).select(
-        *KEY, F.col(f"__first.{column}").alias(column)
+    return exploded.groupBy(*KEY, "f.fact", "f.name", "f.value").agg(
+        total(F.col("cost")).alias("cost"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq")
     )
 
 
-def dominant_service(keyed: DataFrame) -> DataFrame:
-    """The service with the largest current cost names the key; else the first seen."""
-    per_service = keyed.groupBy(*KEY, "service_name").agg(
-        total(F.when(F.col("window") == "current", F.col("effective_cost"))).alias("__cost"),
-        F.min("seq").alias("__seq"),
+def describe_facts(facts: DataFrame) -> DataFrame:
+    """One row per key: dominant service, first-seen attributes, SKUs, tags, daily costs."""
+    value, kind = F.col("value"), F.col("fact")
+    per_name = facts.groupBy(*KEY, "fact", "name").agg(
+        F.min(F.struct("first_seq", "value")).alias("first"),
+        F.max(F.struct("last_seq", "value")).alias("last"),
+        F.max(F.struct("cost", (-F.col("first_seq")).alias("early"), "value")).alias("top"),
+        F.collect_set(F.when(kind == "sku", value)).alias("skus"),
+        # At most one entry per day of the current period.
+        F.collect_list(F.when(kind == "day", F.struct(value.alias("day"), "cost"))).alias("days"),
     )
-    largest = F.max(F.struct(F.col("__cost"), (-F.col("__seq")).alias("__early"), "service_name"))
-    earliest = F.min(F.struct("__seq", "service_name"))
-    picked = per_service.groupBy(*KEY).agg(largest.alias("__top"), earliest.alias("__first"))
-    return picked.select(
-        *KEY,
-        F.when(F.col("__top.__cost") > 0, F.col("__top.service_name"))
-        .otherwise(F.col("__first.service_name"))
-        .alias("service_name"),
-    ).withColumn("service_category", service_category(F.col("service_name")))
-
-
-def sku_sets(keyed: DataFrame) -> DataFrame:
-    filled = keyed.filter(F.coalesce(F.col("sku_id"), F.lit("")) != "")
-    return filled.groupBy(*KEY).agg(F.array_sort(F.collect_set("sku_id")).alias("sku_ids"))
-
-
-def merged_tags(keyed: DataFrame) -> DataFrame:
-    """Tags of a key; per tag the value seen first wins."""
-    tag_rows = keyed.select(*KEY, "seq", F.explode("tags").alias("tag", "value"))
-    firsts = tag_rows.groupBy(*KEY, "tag", "value").agg(F.min("seq").alias("__seq"))
-    chosen = firsts.groupBy(*KEY, "tag").agg(F.min(F.struct("__seq", "value")).alias("__first"))
-    entry = F.struct(F.col("tag").alias("key"), F.col("__first.value").alias("value"))
-    return chosen.groupBy(*KEY).agg(
-        F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("tags")
+
+    def pick(name: str, column: Column) -> Column:
+        return F.max(F.when(F.col("fact") == name, column))
+
+    first = F.col("first.value")
+    top_service = F.when(F.col("top.cost") > 0, F.col("top.value")).otherwise(first)
+    tag = F.when(F.col("fact") == "tag", F.struct(F.col("name").alias("key"), first.alias("value")))
+    described = per_name.groupBy(*KEY).agg(
+        pick("service", top_service).alias("service_name"),
+        pick("account", first).alias("billing_account_id"),
+        pick("region", first).alias("region_id"),
+        pick("resource", first).alias("resource_id"),
+        pick("resource_name", first).alias("resource_name"),
+        F.coalesce(pick("currency", F.col("last.value")), F.lit("USD")).alias("currency"),
+        F.array_sort(F.coalesce(pick("sku", F.col("skus")), F.array())).alias("sku_ids"),
+        F.coalesce(pick("day", F.col("days")), F.array()).alias("days"),
+        F.map_from_entries(F.array_sort(F.collect_list(tag))).alias("tags"),
     )
+    return described.withColumn("service_category", service_category(F.col("service_name")))
 
 
-def first_spikes(keyed: DataFrame, changes: DataFrame, baseline: Period) -> DataFrame:
+def first_spike(baseline: Period) -> Column:
     """First current day above one and a half times the key's baseline daily average."""
-    daily = (
-        keyed.filter(F.col("window") == "current")
-        .groupBy(*KEY, "usage_date")
-        .agg(total(F.col("effective_cost")).alias("__day_cost"))
-    )
-    # Compared as day cost * days > 1.5 * baseline, so the average is never rounded.
-    above = (F.col("__day_cost") * baseline.days * 2 > F.col("baseline_cost") * 3) & (
-        F.col("__day_cost") > F.lit("0.01").cast("decimal(3,2)")
-    )
-    return (
-        daily.join(changes.select(*KEY, "baseline_cost"), KEY)
-        .filter(above)
-        .groupBy(*KEY)
-        .agg(F.min("usage_date").alias("first_spike_date"))
-    )
 
+    # Compared as day cost * days * 2 > baseline * 3, so the average is never rounded.
+    def above(day: Column) -> Column:
+        return (day["cost"] * baseline.days * 2 > F.col("baseline_cost") * 3) & (
+            day["cost"] > F.lit("0.01").cast("decimal(3,2)")
+        )
 
-def last_currency(keyed: DataFrame) -> DataFrame:
-    lasts = (
-        keyed.filter(F.coalesce(F.col("currency"), F.lit("")) != "")
-        .groupBy(*KEY, "currency")
-        .agg(F.max("seq").alias("__seq"))
-    )
-    return lasts.groupBy(*KEY).agg(F.max(F.struct("__seq", "currency")).alias("__last")).select(
-        *KEY, F.col("__last.currency").alias("currency")
-    )
+    return F.array_min(F.transform(F.filter("days", above), lambda d: d["day"])).cast("date")
 
 
-def describe(keyed: DataFrame, changes: DataFrame, baseline: Period) -> DataFrame:
+def describe(
+    keyed: DataFrame, changes: DataFrame, baseline: Period, kinds: Sequence[str] = FACTS
+) -> DataFrame:
     """Attach names, first-seen attributes, SKUs, tags, currency and spike date to changes."""
-    described = changes
-    for part in (
-        dominant_service(keyed),
-        sku_sets(keyed),
-        merged_tags(keyed),
-        first_spikes(keyed, changes, baseline),
-        last_currency(keyed),
-        *[
-            _first_filled(keyed, column)
-            for column in ("billing_account_id", "region_id", "resource_id", "resource_name")
-        ],
-    ):
-        described = described.join(part, KEY, "left")
-    return (
-        described.withColumn("sku_ids", F.coalesce("sku_ids", F.array().cast("array<string>")))
-        .withColumn("tags", F.coalesce("tags", F.create_map().cast("map<string,string>")))
-        .withColumn("currency", F.coalesce("currency", F.lit("USD")))
-    )
+    described = changes.join(describe_facts(key_facts(keyed, kinds)), KEY, "left")
+    return described.withColumn("first_spike_date", first_spike(baseline)).drop("days")
 
 
 # ------------------------------------------------------------------ candidates
@@ -248,19 +244,26 @@ def _numbered_id(prefix: Column) -> Column:
 
 
 def compare_keys(costs: DataFrame, current: Period, baseline: Period) -> DataFrame:
-    """Changes of every candidate key of every provider."""
+    """Changes of every candidate key of every provider.
+
+    The totals are computed once: selection, ranks and provider totals all read them.
+    """
     keyed = with_partition_key(with_window(costs, current, baseline))
-    return with_changes(key_totals(keyed), current, baseline)
+    return with_changes(settle(key_totals(keyed)), current, baseline)
 
 
 def candidates(
-    costs: DataFrame, current: Period, baseline: Period, thresholds: Thresholds = Thresholds()
+    costs: DataFrame,
+    current: Period,
+    baseline: Period,
+    thresholds: Thresholds = Thresholds(),
+    changes: DataFrame | None = None,
 ) -> DataFrame:
     """Material candidates, fully described (the flagship comparison)."""
+    if changes is None:
+        changes = compare_keys(costs, current, baseline)
+    kept = settle(material_candidates(changes, thresholds))
     keyed = with_partition_key(with_window(costs, current, baseline))
-    kept = material_candidates(
-        with_changes(key_totals(keyed), current, baseline), thresholds
-    )
     # At most max_candidates rows per provider reach the broadcast.
     own_rows = keyed.join(F.broadcast(kept.select(*KEY)), KEY, "left_semi")
     return describe(own_rows, kept, baseline)
@@ -362,7 +365,7 @@ def breakdown(
         .drop("__rank")
     )
     prefix = F.concat(F.col("provider"), F.lit("-"), F.col("dimension"), F.lit("-"))
-    kept = kept.withColumn("candidate_id", _numbered_id(prefix))
+    kept = settle(kept.withColumn("candidate_id", _numbered_id(prefix)))
     own_rows = keyed.join(F.broadcast(kept.select(*KEY)), KEY, "left_semi")
     return describe(own_rows, kept, baseline)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 RUNTIME_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -42,3 +42,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path for a written intermediate table in the shared folder."""
     return f"{checkpoint_dir(spark).rstrip('/')}/spendshift-{uuid.uuid4().hex}/{name}"
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Compute a table that several later steps read once, and cut its lineage."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from spendshift.workloads import comparison  # noqa: F401
+from spendshift.workloads import comparison, knowledge  # noqa: F401
 from spendshift.workloads.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -19,7 +19,7 @@ _FIGURES = [
 _FIGURE_LIST = ", ".join(_FIGURES)
 
 TAG_TEXT = (
-    "array_to_string(list_filter(['env=' || tag_env, 'owner=' || tag_owner], x -> x IS NOT NULL), '|')"
+    "concat_ws('|', 'env=' || tag_env, 'owner=' || tag_owner)"
 )
 
 DESCRIBE = f"""
@@ -138,6 +138,10 @@ def _keyed(spark, sf):
     )
 
 
+def _facts(spark, sf, *kinds):
+    return compare.describe_facts(compare.key_facts(_keyed(spark, sf), kinds))
+
+
 @query("a8_dominant_service", with_(COSTS) + """,
 svc AS (SELECT provider, dimension, key, service_name,
   coalesce(sum(effective_cost) FILTER (win = 'current'), 0) AS sc, min(seq) AS ss FROM keyed GROUP BY ALL)
@@ -145,14 +149,14 @@ SELECT provider, dimension, key, CASE WHEN max(sc) > 0
     THEN arg_max(service_name, {'c': sc, 's': -ss, 'n': service_name})
     ELSE arg_min(service_name, {'s': ss, 'n': service_name}) END AS service_name FROM svc GROUP BY ALL""")
 def a8(spark, sf):
-    return compare.dominant_service(_keyed(spark, sf)).drop("service_category")
+    return _facts(spark, sf, "service").select(*compare.KEY, "service_name")
 
 
 @query("a9_sku_sets", with_(COSTS) + """
 SELECT provider, dimension, key, array_to_string(list_sort(list_distinct(list(sku_id))), '|') AS sku_ids
 FROM keyed GROUP BY ALL""")
 def a9(spark, sf):
-    return compare.sku_sets(_keyed(spark, sf))
+    return _facts(spark, sf, "sku").select(*compare.KEY, "sku_ids")
 
 
 @query("a10_first_seen_attributes", with_(COSTS) + f"""
@@ -160,11 +164,10 @@ SELECT provider, dimension, key, {pick_first('billing_account_id')} AS billing_a
   {pick_first('region_id')} AS region_id, {pick_first('resource_id')} AS resource_id,
   {pick_first('resource_name')} AS resource_name, 'USD' AS currency FROM keyed GROUP BY ALL""")
 def a10(spark, sf):
-    keyed = _keyed(spark, sf)
-    out = keyed.select(*compare.KEY).distinct()
-    for column in ("billing_account_id", "region_id", "resource_id", "resource_name"):
-        out = out.join(compare._first_filled(keyed, column), compare.KEY, "left")
-    return out.join(compare.last_currency(keyed), compare.KEY, "left")
+    kinds = ("account", "region", "resource", "resource_name", "currency")
+    return _facts(spark, sf, *kinds).select(
+        *compare.KEY, "billing_account_id", "region_id", "resource_id", "resource_name", "currency"
+    )
 
 
 @query("a11_merged_tags", with_(COSTS) + f""",
@@ -172,7 +175,7 @@ firsts AS (SELECT provider, dimension, key, {pick_first('tag_env')} AS tag_env,
   {pick_first('tag_owner')} AS tag_owner FROM keyed GROUP BY ALL)
 SELECT provider, dimension, key, {TAG_TEXT} AS tags FROM firsts""")
 def a11(spark, sf):
-    return compare.merged_tags(_keyed(spark, sf))
+    return _facts(spark, sf, "tag").select(*compare.KEY, "tags")
 
 
 @query("a12_new_spend", with_(COSTS, changes("keyed"))
@@ -190,7 +193,8 @@ FROM days JOIN changes USING (provider, dimension, key)
 WHERE {micro('dc')} * {2 * BD} > b * 3 AND dc > 0.01 GROUP BY ALL""")
 def a13(spark, sf):
     keyed = _keyed(spark, sf)
-    return compare.first_spikes(keyed, compare.key_totals(keyed), BASELINE)
+    described = compare.describe(keyed, compare.key_totals(keyed), BASELINE, ["day"])
+    return described.select(*compare.KEY, "first_spike_date").filter("first_spike_date is not null")
 
 
 @query("w1_group_positions", with_(COSTS, changes("dims")) + """,

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import re
 
 from spendshift.functions.classify import SERVICE_CATEGORIES
-from spendshift.workloads.views import AUDIT_NAMES, BASELINE, CURRENT, METRICS, PART_TYPES, SERVICES
+from spendshift.sources.reference_tables import _lines
+from spendshift.workloads.views import AS_OF, AUDIT_NAMES, BASELINE, CURRENT, METRICS, PART_TYPES, SERVICES
 
 
 def half_even(numerator: str, denominator: str, places: int, when: str | None = None) -> str:
@@ -182,3 +184,89 @@ def pick_first(column: str) -> str:
     """First filled value of a column by (seq, value)."""
     filled = f"{column} IS NOT NULL AND {column} <> ''"
     return f"arg_min({column}, {{'s': seq, 'v': {column}}}) FILTER ({filled})"
+
+
+# ------------------------------------------------------------------ rules and playbooks as SQL values
+
+
+def _literal(value) -> str:
+    if value is None:
+        return "NULL"
+    if isinstance(value, bool):
+        return "true" if value else "false"
+    if isinstance(value, (int, float)):
+        return repr(value)
+    if isinstance(value, list):
+        return "CAST([" + ", ".join(_literal(v) for v in value) + "] AS VARCHAR[])"
+    if isinstance(value, dict):
+        return _literal(json.dumps(value))
+    return "'" + str(value).replace("'", "''") + "'"
+
+
+def _values(name: str, records: list[dict], columns: list[str], casts: dict[str, str]) -> str:
+    rows = ", ".join(
+        "(" + ", ".join([str(seq)] + [_literal(r.get(c)) for c in columns]) + ")"
+        for seq, r in enumerate(records)
+    )
+    picked = ", ".join(
+        ["seq"] + [f"CAST({c} AS {casts[c]}) AS {c}" if c in casts else c for c in columns]
+    )
+    return f"{name} AS (SELECT {picked} FROM (VALUES {rows}) v(seq, {', '.join(columns)}))"
+
+
+_DATES = {c: "DATE" for c in ("valid_from", "valid_to", "reviewed_at")}
+RULES = _values(
+    "rules", _lines("rules.jsonl"),
+    ["id", "provider", "rule_type", "service", "valid_from", "valid_to", "reviewed_at", "confidence",
+     "matches_categories", "matches_services", "source_url", "data"],
+    _DATES,
+)
+SPECS = _values(
+    "specs", _lines("playbooks.jsonl"),
+    ["provider", "category", "priority", "max_confidence", "risk", "service_patterns", "sku_patterns",
+     "metric_names", "audit_event_patterns", "low_utilization_metrics", "low_utilization_threshold",
+     "requires_quantity_growth", "requires_rate_change", "requires_missing_owner"],
+    {},
+)
+
+
+def contains_any(value: str, patterns: str) -> str:
+    return (
+        f"coalesce(len(list_filter({patterns}, lambda p: contains(lower({value}), lower(p)))) > 0, false)"
+    )
+
+
+def rule_choice(questions: str, name: str = "answered") -> str:
+    """Relational rule selection for a table (qid, provider, rule_type, service, category, usage_date)."""
+    return f"""
+{name}_scored AS (
+  SELECT q.*, r.seq, r.id, r.valid_from, r.valid_to, r.reviewed_at, r.confidence AS status, r.data, r.source_url,
+    len(r.matches_services) = 0 AND len(r.matches_categories) = 0 AS generic,
+    CASE WHEN q.category IS NOT NULL AND list_contains(r.matches_categories, q.category) THEN 3
+      WHEN q.service IS NOT NULL AND lower(r.service) = lower(q.service) THEN 2
+      WHEN q.service IS NOT NULL AND len(list_filter(r.matches_services, lambda p:
+        contains(lower(q.service), lower(p)) OR contains(lower(p), lower(q.service)))) > 0 THEN 1
+      WHEN q.service IS NOT NULL OR q.category IS NOT NULL THEN 0
+      WHEN len(r.matches_services) = 0 AND len(r.matches_categories) = 0 THEN 1 ELSE 0 END AS score
+  FROM {questions} q JOIN rules r ON r.provider = q.provider AND r.rule_type = q.rule_type),
+{name}_best AS (SELECT *, max(score) OVER (PARTITION BY qid) AS best FROM {name}_scored),
+{name}_pool AS (
+  SELECT *, valid_from <= usage_date AND (valid_to IS NULL OR usage_date <= valid_to) AS effective
+  FROM {name}_best WHERE (best > 0 AND score = best) OR (best = 0 AND generic)),
+{name}_pick AS (
+  SELECT *, row_number() OVER (PARTITION BY qid ORDER BY
+    CASE WHEN usage_date IS NULL THEN 0 WHEN effective THEN 0 WHEN valid_from IS NULL THEN 1 ELSE 2 END,
+    CASE WHEN usage_date IS NULL OR effective THEN coalesce(valid_from, DATE '0001-01-01') END DESC NULLS LAST,
+    seq) AS n FROM {name}_pool),
+{name}_one AS (
+  SELECT qid, id, valid_from, reviewed_at, status, data, source_url, best,
+    usage_date IS NULL OR effective OR valid_from IS NULL AS found,
+    usage_date IS NOT NULL AND valid_from IS NULL AS undated
+  FROM {name}_pick WHERE n = 1),
+{name} AS (
+  SELECT q.*, coalesce(o.found, false) AS found, CASE WHEN o.found THEN o.id END AS rule_id,
+    coalesce(o.best = 0, false) AS used_generic, coalesce(o.found AND o.undated, false) AS is_undated,
+    CASE WHEN o.found THEN coalesce(date_diff('day', o.reviewed_at, DATE '{AS_OF}') > 180, true) END AS is_stale,
+    CASE WHEN o.found THEN o.valid_from END AS rule_valid_from,
+    CASE WHEN o.found THEN o.reviewed_at END AS rule_reviewed_at, CASE WHEN o.found THEN o.data END AS data
+  FROM {questions} q LEFT JOIN {name}_one o USING (qid))"""
