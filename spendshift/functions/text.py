@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MAX_LENGTH = 400
 MIN_FINGERPRINT_LENGTH = 200
@@ -46,7 +47,7 @@ _SPACE = _UNICODE + r"[\s\x1c-\x1f]+"
 _FORMULA_START = r"^[=+\-@\t\r]"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfkc(values: pd.Series) -> pd.Series:
     return values.str.normalize("NFKC")
 
@@ -107,7 +108,7 @@ def scrub_tags(tags: Column, limit: int = 6) -> tuple[Column, Column]:
     return text, F.when(none, F.lit(False)).otherwise(F.exists(entries, suspicious))
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _nfkc_each(lists: pd.Series) -> pd.Series:
     return lists.map(
         lambda items: None if items is None else list(pd.Series(items, dtype=object).str.normalize("NFKC"))

@@ -29,11 +29,10 @@ def service_days(spark, sf):
     days = cost_rows(spark, sf).groupBy("provider", "service_name", "usage_date").agg(
         F.count(F.lit(1)).alias("lines")
     )
-    # Asked thirty years later, where the rules have their validity dates.
     return days.select(
         "provider", F.col("service_name").alias("service"),
         chain.otherwise(F.lit(None).cast("string")).alias("category"),
-        F.add_months("usage_date", 324).alias("usage_date"), "lines",
+        "usage_date", "lines",
     )
 
 
@@ -43,7 +42,7 @@ _CATEGORY_SQL = "CASE " + " ".join(
 DAYS = f"""
 service_days AS (
   SELECT provider || '|' || service_name || '|' || usage_date AS qid, provider, service_name AS service,
-    {_CATEGORY_SQL} AS category, CAST(usage_date + INTERVAL 324 MONTH AS DATE) AS usage_date, count(*) AS lines
+    {_CATEGORY_SQL} AS category, usage_date, count(*) AS lines
   FROM costs GROUP BY provider, service_name, usage_date)"""
 
 
@@ -203,7 +202,7 @@ def a20(spark, sf):
 @query("a27_freshness_gap", with_(COSTS, EVIDENCE, RULES) + f""",
 cover AS (SELECT provider, min(data_through) AS data_through FROM provenance GROUP BY provider),
 questions AS (SELECT provider AS qid, provider, 'data_freshness' AS rule_type, CAST(NULL AS VARCHAR) AS service,
-  CAST(NULL AS VARCHAR) AS category, CAST(DATE '{CURRENT.end}' + INTERVAL 324 MONTH AS DATE) AS usage_date, data_through FROM cover),
+  CAST(NULL AS VARCHAR) AS category, DATE '{CURRENT.end}' AS usage_date, data_through FROM cover),
 {rule_choice('questions').strip()}
 SELECT provider, strftime(data_through, '%Y-%m-%d %H:%M:%S') AS data_through, rule_id,
   coalesce(CAST(json_extract_string(data, '$.expected_delay_hours') AS DOUBLE), 48.0) AS expected_delay_hours,
@@ -211,15 +210,8 @@ SELECT provider, strftime(data_through, '%Y-%m-%d %H:%M:%S') AS data_through, ru
   epoch(CAST(DATE '{CURRENT.end}' AS TIMESTAMP) + INTERVAL '86399' SECOND) - epoch(data_through) > 0 AS is_incomplete
 FROM answered""")
 def a27(spark, sf):
-    # The rule is chosen for a period end thirty years later; the gap itself is unchanged.
     covered = coverage.provider_coverage(provenance(spark, sf)).select("provider", "data_through")
-    shift = F.expr("interval 324 months")
-    moved = covered.select(
-        "provider", (F.col("data_through") + shift).alias("data_through"),
-        F.add_months(F.lit(CURRENT.end), 324).alias("period_end"),
-    )
-    gaps = rules.freshness_gaps(moved, billing_rules(spark), _as_of())
-    return gaps.select(
-        "provider", (F.col("data_through") - shift).alias("data_through"), "rule_id", "expected_delay_hours",
-        "gap_hours", "is_incomplete",
+    asked = covered.withColumn("period_end", F.lit(CURRENT.end))
+    return rules.freshness_gaps(asked, billing_rules(spark), _as_of()).select(
+        "provider", "data_through", "rule_id", "expected_delay_hours", "gap_hours", "is_incomplete"
     )

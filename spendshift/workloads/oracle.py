@@ -7,7 +7,7 @@ import re
 
 from spendshift.functions.classify import SERVICE_CATEGORIES
 from spendshift.sources.reference_tables import _lines
-from spendshift.workloads.views import AS_OF, AUDIT_NAMES, BASELINE, CURRENT, METRICS, PART_TYPES, SERVICES
+from spendshift.workloads.views import AS_OF, AUDIT_NAMES, BASELINE, CURRENT, METRICS, PART_TYPES, SERVICES, SHIFT_MONTHS
 
 
 def half_even(numerator: str, denominator: str, places: int, when: str | None = None) -> str:
@@ -56,7 +56,7 @@ cost_base AS (
   FROM lineitem l JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey
   JOIN nation ON s_nationkey = n_nationkey),
 costs AS (
-  SELECT provider, 'acct-' || n_nationkey AS billing_account_id, CAST(l_shipdate AS DATE) AS usage_date,
+  SELECT provider, 'acct-' || n_nationkey AS billing_account_id, CAST(CAST(l_shipdate AS DATE) + INTERVAL {SHIFT_MONTHS} MONTH AS DATE) AS usage_date,
     {case_map(_SERVICE_NAMES, 'provider', 'p_type')} AS service_name,
     CASE l_returnflag WHEN 'N' THEN 'usage' WHEN 'A' THEN 'adjustment' ELSE 'credit' END AS charge_category,
     p_name AS charge_description,
