@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import re
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -64,8 +64,8 @@ def service_category(service_name: Column) -> Column:
     lowered = F.lower(service_name)
     chain = F
     for category, keywords in SERVICE_CATEGORIES:
-        pattern = "|".join(re.escape(keyword) for keyword in keywords)
-        chain = chain.when(lowered.rlike(pattern), F.lit(category))
+        hits = [F.contains(lowered, F.lit(keyword)) for keyword in keywords]
+        chain = chain.when(reduce(Column.__or__, hits), F.lit(category))
     return chain.otherwise(F.lit("Other"))
 
 

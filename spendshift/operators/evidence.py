@@ -117,6 +117,15 @@ def candidate_events(candidates: DataFrame, audit: DataFrame, current: Period) -
     return by_resource.select(*columns).unionByName(by_service.select(*columns))
 
 
+def leading_events(events: DataFrame) -> DataFrame:
+    """The first events of every name per candidate: enough to match and to cite.
+
+    Any choice of names takes its first events from these, so the audit table is read once.
+    """
+    per = Window.partitionBy(*CANDIDATE, "event_name").orderBy("event_time", "seq", "event_id")
+    return events.withColumn("__n", F.row_number().over(per)).filter(F.col("__n") <= MAX_AUDIT).drop("__n")
+
+
 def first_recommendations(candidates: DataFrame, recommendations: DataFrame) -> DataFrame:
     matched = recommendations.join(_resource_candidates(candidates), ["provider", "resource_id"])
     per = Window.partitionBy(*CANDIDATE).orderBy("seq", "recommendation_id")

@@ -15,6 +15,7 @@ from spendshift.operators.playbooks import confidence
 from spendshift.operators.rules import select_rules
 from spendshift.periods import Period
 from spendshift.schemas import TOTAL
+from spendshift.session import settle
 from spendshift.sources.reference_tables import FALLBACK_CATEGORY
 
 # Kinds that corroborate a high confidence, and kinds that can show a cause.
@@ -224,9 +225,9 @@ def record_claims(
 
 
 def known_resources(costs: DataFrame, inventory: DataFrame) -> DataFrame:
-    """Resource ids seen in cost rows or inventory, per provider."""
+    """Resource ids seen in cost rows or inventory, per provider (not yet distinct)."""
     ids = costs.filter(F.coalesce("resource_id", F.lit("")) != "").select("provider", "resource_id")
-    return ids.unionByName(inventory.select("provider", "resource_id")).distinct()
+    return ids.unionByName(inventory.select("provider", "resource_id"))
 
 
 def unknown_resources(findings: DataFrame, known: DataFrame) -> DataFrame:
@@ -291,6 +292,8 @@ def validate(
         work = work.withColumn("missing", F.lit(None).cast("array<string>"))
     work = work.withColumn("missing", F.coalesce("missing", F.array().cast("array<string>")))
 
+    work = settle(work)
+
     has_unknown = F.coalesce(F.size("unknown_ids") > 0, F.lit(False))
     no_evidence = F.col("evidence_count") == 0
     untraceable = F.coalesce(F.size("untraceable") > 0, F.lit(False))

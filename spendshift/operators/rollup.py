@@ -43,7 +43,7 @@ def daily_rollup(costs: DataFrame) -> DataFrame:
     The first pass groups with the descriptive columns included, so its buffers are plain
     numbers that combine map-side; the second picks first values on the reduced rows.
     """
-    tag_set = F.array_sort(F.map_entries(F.coalesce("tags", F.create_map().cast("map<string,string>"))))
+    tag_set = F.sort_array(F.map_entries(F.coalesce("tags", F.create_map().cast("map<string,string>"))))
     described = costs.withColumn("tag_set", tag_set)
     fine = described.groupBy(*ROLLUP_KEYS, "tag_set", *_FIRST_ROW, *_FIRST_FILLED).agg(
         *[F.sum(c).alias(c) for c in ("usage_quantity", "billed_cost", "effective_cost")],
@@ -58,7 +58,8 @@ def daily_rollup(costs: DataFrame) -> DataFrame:
         *[F.sum(c).cast(MONEY).alias(c) for c in ("usage_quantity", "billed_cost", "effective_cost")],
         first_row,
         *filled,
-        F.count_distinct("usage_unit").alias("distinct_units"),
+        # Unlike units share a row when all keys agree; the flag says so.
+        (F.min("usage_unit") != F.max("usage_unit")).alias("mixed_units"),
     )
     rolled = (
         coarse.withColumn("tags", F.map_from_entries("tag_set"))
@@ -69,7 +70,7 @@ def daily_rollup(costs: DataFrame) -> DataFrame:
         rolled = rolled.withColumn(name, F.col(f"first.{name}"))
     for name in _FIRST_FILLED:
         rolled = rolled.withColumn(name, F.col(f"{name}.{name}"))
-    return rolled.select(*COST.names, "distinct_units")
+    return rolled.select(*COST.names, "mixed_units")
 
 
 def with_record_ids(rolled: DataFrame) -> DataFrame:
@@ -77,7 +78,7 @@ def with_record_ids(rolled: DataFrame) -> DataFrame:
     keyed = rolled.withColumn("resource_key", resource_key(F.col("resource_id"), F.col("service_name")))
     tie_breaks = ["seq", "provider", "billing_account_id", "sku_id", "region_id", "charge_category", "currency"]
     order = [F.col(c) for c in ("usage_date", "service_name", "resource_key", *tie_breaks)]
-    order.append(F.array_sort(F.map_entries("tags")))
+    order.append(F.sort_array(F.map_entries("tags")))
     numbered = with_position(keyed, [], order)
     number = F.col("position").cast("string")
     padded = F.when(F.length(number) < 6, F.lpad(number, 6, "0")).otherwise(number)

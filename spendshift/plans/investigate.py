@@ -63,13 +63,17 @@ def gaps_of(request: Request, tables: Tables) -> DataFrame:
 
 def case_files(request: Request, tables: Tables, candidates: DataFrame) -> dict[str, DataFrame]:
     """Playbook scores, choices and evidence of already selected candidates."""
-    series = evidence.candidate_series(candidates, tables.points, request.current, request.baseline)
-    events = evidence.candidate_events(candidates, tables.audit, request.current)
+    series = settle(
+        evidence.candidate_series(candidates, tables.points, request.current, request.baseline)
+    )
+    events = settle(
+        evidence.leading_events(evidence.candidate_events(candidates, tables.audit, request.current))
+    )
     scores = playbooks.match_scores(candidates, tables.playbooks, tables.inventory, series, events)
-    chosen = playbooks.best_playbooks(candidates, scores)
+    chosen = settle(playbooks.best_playbooks(candidates, scores))
     specs = chosen.select(*evidence.CANDIDATE, "metric_names", "audit_event_patterns")
     place = F.broadcast(candidates.select(*evidence.CANDIDATE, "kept_position"))
-    gaps = gaps_of(request, tables)
+    gaps = settle(gaps_of(request, tables))
 
     def placed(rows: DataFrame) -> DataFrame:
         return rows.join(place, evidence.CANDIDATE)
@@ -110,7 +114,7 @@ def investigate(
     )
     overall = compare.overall_comparison(providers, request.thresholds.tolerance)
     files = case_files(request, tables, wanted)
-    chosen, rows, gaps = settle(files["chosen"]), settle(files["evidence"]), settle(files["gaps"])
+    chosen, rows, gaps = files["chosen"], settle(files["evidence"]), files["gaps"]
     claimed = settle(
         findings.build_findings(wanted, chosen, rows, tables.rules, gaps, request.current, _as_of(request))
     )
@@ -118,12 +122,14 @@ def investigate(
         F.col("usage_date").between(request.current.start, request.current.end)
         | F.col("usage_date").between(request.baseline.start, request.baseline.end)
     )
-    available = coverage.available_source_types(
-        coverage.present_kinds(
-            {
-                "cost": tables.costs, "inventory": tables.inventory, "metrics": tables.points,
-                "audit": tables.audit, "recommendations": tables.recommendations,
-            }
+    available = settle(
+        coverage.available_source_types(
+            coverage.present_kinds(
+                {
+                    "cost": changes, "inventory": tables.inventory, "metrics": tables.points,
+                    "audit": tables.audit, "recommendations": tables.recommendations,
+                }
+            )
         )
     )
     published, dropped, issues = findings.validate(

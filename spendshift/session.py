@@ -14,6 +14,8 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # HotSpot leaves methods beyond 8000 bytes of bytecode interpreted; wide projections exceed it.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
@@ -27,16 +29,13 @@ def prepare(spark: SparkSession) -> SparkSession:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder; a private one only where none is set."""
     context = spark.sparkContext
-    configured = context.getConf().get("spark.checkpoint.dir", None)
     current = context.getCheckpointDir()
-    if configured:
-        if current is None:
-            context.setCheckpointDir(configured)
-        return configured
-    if current is None:
-        current = tempfile.mkdtemp(prefix="spendshift-checkpoint-")
-        context.setCheckpointDir(current)
-    return context.getCheckpointDir() or current
+    if current:
+        return current
+    configured = context.getConf().get("spark.checkpoint.dir", None)
+    folder = configured or tempfile.mkdtemp(prefix="spendshift-checkpoint-")
+    context.setCheckpointDir(folder)
+    return context.getCheckpointDir() or folder
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

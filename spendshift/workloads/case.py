@@ -357,7 +357,7 @@ def j4(spark, sf):
 SELECT provider, count(*) AS resources FROM (
   SELECT provider, resource_id FROM scoped WHERE resource_id IS NOT NULL UNION SELECT provider, resource_id FROM inv) GROUP BY provider""")
 def j9(spark, sf):
-    return known(spark, sf).groupBy("provider").agg(F.count(F.lit(1)).alias("resources"))
+    return known(spark, sf).distinct().groupBy("provider").agg(F.count(F.lit(1)).alias("resources"))
 
 
 @query("j8_unknown_resources", with_(COSTS, EVIDENCE) + """

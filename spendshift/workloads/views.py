@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from datetime import date
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,6 +53,12 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Share out a scan that has fewer tasks than there are cores; larger scans stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def provider_of(number: Column) -> Column:
     rest = number % 3
     return F.when(rest == 0, "aws").when(rest == 1, "azure").otherwise("gcp")
@@ -69,9 +76,21 @@ def text_number(number: Column) -> Column:
     return number.cast("string")
 
 
+def service_names(spark: SparkSession) -> DataFrame:
+    """Service and category of each (provider, part type); categorised once per name."""
+    pairs = [
+        (owner, kind, name) for owner, names in SERVICES.items() for kind, name in zip(PART_TYPES, names)
+    ]
+    columns = dict(zip(("line_provider", "p_type", "listed_service"), map(list, zip(*pairs))))
+    named = spark.createDataFrame(pa.table(columns))
+    return named.withColumn("listed_category", service_category(F.col("listed_service")))
+
+
 def cost_rows(spark: SparkSession, sf: str, *, lines: DataFrame | None = None) -> DataFrame:
     """One cost row per ``lineitem`` row, in the fixed cost schema."""
-    lines = table(spark, sf, "lineitem") if lines is None else lines
+    wanted = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
+              "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
+    lines = spread((table(spark, sf, "lineitem") if lines is None else lines).select(*wanted))
     parts = table(spark, sf, "part").select("p_partkey", "p_name", "p_type", "p_brand")
     suppliers = table(spark, sf, "supplier").select("s_suppkey", "s_name", "s_nationkey")
     nations = table(spark, sf, "nation").select("n_nationkey", "n_name")
@@ -79,9 +98,10 @@ def cost_rows(spark: SparkSession, sf: str, *, lines: DataFrame | None = None) -
         lines.join(parts, lines.l_partkey == parts.p_partkey)
         .join(suppliers, lines.l_suppkey == suppliers.s_suppkey)
         .join(nations, suppliers.s_nationkey == nations.n_nationkey)
+        .withColumn("line_provider", provider_of(F.col("l_suppkey")))
+        .join(service_names(spark), ["line_provider", "p_type"], "left")
     )
-    provider = provider_of(F.col("l_suppkey"))
-    services = {owner: dict(zip(PART_TYPES, names)) for owner, names in SERVICES.items()}
+    provider = F.col("line_provider")
     part, supplier = F.col("l_partkey"), F.col("l_suppkey")
     price = F.col("l_extendedprice").cast("decimal(18,2)")
     discount = F.col("l_discount").cast("decimal(4,2)")
@@ -99,7 +119,8 @@ def cost_rows(spark: SparkSession, sf: str, *, lines: DataFrame | None = None) -
         "provider": provider,
         "billing_account_id": F.concat(F.lit("acct-"), text_number(F.col("n_nationkey"))),
         "usage_date": F.add_months(F.col("l_shipdate").cast("date"), SHIFT_MONTHS),
-        "service_name": _lookup(services, provider, F.col("p_type")),
+        "service_name": F.col("listed_service"),
+        "service_category": F.col("listed_category"),
         "charge_category": F.when(F.col("l_returnflag") == "N", "usage")
         .when(F.col("l_returnflag") == "A", "adjustment")
         .otherwise("credit"),
@@ -124,8 +145,7 @@ def cost_rows(spark: SparkSession, sf: str, *, lines: DataFrame | None = None) -
         ),
         "seq": F.col("l_orderkey") * 10 + F.col("l_linenumber"),
     }
-    named = joined.select(*[column.alias(name) for name, column in columns.items()])
-    return conform(named.withColumn("service_category", service_category(F.col("service_name"))), COST)
+    return conform(joined.select(*[column.alias(name) for name, column in columns.items()]), COST)
 
 
 def scoped_costs(spark: SparkSession, sf: str) -> DataFrame:
