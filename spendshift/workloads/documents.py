@@ -8,7 +8,7 @@ from spendshift.functions import text
 from spendshift.operators import documents, evaluate, history
 from spendshift.operators.evaluate import TOP_K
 from spendshift.workloads.registry import query
-from spendshift.workloads.views import table
+from spendshift.workloads.views import spread, table
 
 # ------------------------------------------------------------------ untrusted text
 
@@ -18,7 +18,7 @@ def _untrusted(spark, sf):
         F.concat_ws("-", F.lit("c"), "conv_id", "turn").alias("id"), F.concat_ws(": ", "role", "text").alias("text"))
     docs = table(spark, sf, "documents").select(F.concat_ws("-", F.lit("d"), "doc_id").alias("id"), "text")
     pages = table(spark, sf, "pages").select(F.concat_ws("-", F.lit("p"), "page_id").alias("id"), F.col("html").alias("text"))
-    return turns.unionByName(docs).unionByName(pages)
+    return spread(turns.unionByName(docs).unionByName(pages))
 
 
 @query("p17_scrubbed_text")
@@ -43,8 +43,8 @@ WITH u AS (
 h AS (SELECT id, concat_ws('|', {_HIT_SQL}) AS hits FROM u)
 SELECT id, hits, hits <> '' AS suspicious FROM h""")
 def p18(spark, sf):
-    return _untrusted(spark, sf).select(
-        "id", text.injection_hits(F.col("text")).alias("hits"), text.looks_like_injection(F.col("text")).alias("suspicious"))
+    hits = _untrusted(spark, sf).select("id", text.injection_hits(F.col("text")).alias("hits"))
+    return hits.withColumn("suspicious", F.size("hits") > 0)
 
 
 @query("p19_tag_rendering", """
@@ -88,7 +88,7 @@ recorded AS (SELECT page_id, CASE WHEN page_id % 5 = 0 THEN sha256('old') ELSE s
 
 @query("p26_page_fingerprints", "WITH " + _PRINTS.strip() + " SELECT page_id, sha256 FROM prints")
 def p26(spark, sf):
-    return documents.page_fingerprints(table(spark, sf, "pages"))
+    return documents.page_fingerprints(spread(table(spark, sf, "pages")))
 
 
 def _changes(spark, sf):
