@@ -22,6 +22,7 @@ from spendshift.schemas import TOTAL
 from spendshift.session import settle
 
 KEY = ["provider", "dimension", "key"]
+MAX_BROADCAST_CANDIDATES = 2_000
 
 
 @dataclass(frozen=True)
@@ -31,6 +32,11 @@ class Thresholds:
     tolerance: float = 0.05
     max_candidates: int = 8
 
+    def __post_init__(self) -> None:
+        # The kept candidates are broadcast to the evidence tables; this bounds their size.
+        if not 0 < self.max_candidates <= MAX_BROADCAST_CANDIDATES:
+            raise ValueError(f"max_candidates must be 1 to {MAX_BROADCAST_CANDIDATES}")
+
 
 # ------------------------------------------------------------------ keys
 
