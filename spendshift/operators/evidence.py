@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from spendshift.functions.classify import contains_any, provenance_reference
 from spendshift.functions.parsing import end_of_day
-from spendshift.functions.text import nfkc, normalised_tags, scrub, scrub_tags
+from spendshift.functions.text import normalised_tags, scrub, scrub_tags
 from spendshift.periods import Period
 
 MAX_METRICS = 3

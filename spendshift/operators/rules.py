@@ -17,8 +17,6 @@ from spendshift.functions.parsing import end_of_day
 REVIEW_MAX_AGE_DAYS = 180
 DEFAULT_DELAY_HOURS = 48.0
 
-QUESTION = ["provider", "rule_type", "service", "category", "usage_date"]
-
 
 def effective_on(valid_from: Column, valid_to: Column, day: Column) -> Column:
     """An undated rule is never effective."""

@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from spendshift.functions import classify, parsing, text
-from spendshift.operators import coverage, filters, rollup
+from spendshift.operators import coverage, rollup
 from spendshift.plans.ingest import ingest_costs
 from spendshift.session import scratch_path
 from spendshift.sources import landing, native, store
 from spendshift.workloads import exports
 from spendshift.workloads.oracle import (
-    BASE, COSTS, CUR, EVIDENCE, PROVIDER, RULES, category_case, with_,
+    BASE, COSTS, CUR, EVIDENCE, category_case, with_,
 )
 from spendshift.workloads.registry import query
 from spendshift.workloads.views import BASELINE, CURRENT, audit_rows, cost_rows, metric_points, provenance, table
