@@ -91,7 +91,7 @@ def write(
 
 
 def _field(name: str) -> Column:
-    value = F.regexp_extract("header", rf"(?m)^{name}: ([^\r\n]*)\r$", 1)
+    value = F.regexp_extract("header", rf"(?m)^{name}: ([^\r\n]*)", 1)
     return F.when(value != "", value)
 
 
