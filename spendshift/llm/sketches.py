@@ -90,33 +90,28 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
     first. Ids are dealt by their leading bits, so a task sorts a few runs of at most 2^bits
     ids with their texts, and only the first row of each run is looked up from another run.
     """
-    key = F.shiftright(F.col(id_col).cast("long"), bits)
+    # Null ids are a run of their own, after all others.
+    key = F.coalesce(F.shiftright(F.col(id_col).cast("long"), bits), F.lit(-(2**63)))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), key.alias("run"))
     order = Window.partitionBy("run").orderBy(F.col("doc_id").desc_nulls_last(), "text")
     placed = (
         rows.withColumn("after", F.lead("text").over(order)).withColumn("sketch", sketch(F.col("text")))
         .withColumn("after_sketch", F.lead("sketch").over(order))
     )
-    # The first row of each run by the same order: the largest id, and its smallest text.
-    top = rows.groupBy("run").agg(F.max("doc_id").alias("top"))
     heads = (
-        rows.join(top, rows["run"].eqNullSafe(top["run"]) & F.col("doc_id").eqNullSafe(F.col("top")))
-        .groupBy(rows["run"]).agg(F.min("text").alias("head"))
+        rows.withColumn("before", F.lag(F.lit(1)).over(order)).filter("before IS NULL")
+        .select(F.col("run").alias("next_run"), F.col("text").alias("head"))
     )
-    runs = with_position(rows.select("run").distinct(), [], [F.col("run").desc_nulls_last()])
+    runs = with_position(rows.select("run").distinct(), [], [F.col("run").desc()])
     last = runs.agg(F.max("position")).first()[0]
     following = runs.select(
         F.when(F.col("position") == 0, F.lit(last)).otherwise(F.col("position") - 1).alias("position"), F.col("run").alias("next_run")
     )
-    links = runs.join(following, "position").select(F.col("run").alias("from_run"), "next_run")
-    starts = links.join(heads, links["next_run"].eqNullSafe(heads["run"])).select(
-        "from_run", "head", sketch(F.col("head")).alias("head_sketch")
+    starts = (
+        runs.join(following, "position").select("run", "next_run").join(heads, "next_run")
+        .select("run", "head", sketch(F.col("head")).alias("head_sketch"))
     )
-    inner = placed.filter("after IS NOT NULL").select(
-        "doc_id", "text", "sketch", F.col("after").alias("next_text"), F.col("after_sketch").alias("next_sketch")
+    return placed.join(starts, "run", "left").select(
+        "doc_id", "text", "sketch", F.coalesce("after", "head").alias("next_text"),
+        F.coalesce("after_sketch", "head_sketch").alias("next_sketch"),
     )
-    ends = placed.filter("after IS NULL")
-    edges = ends.join(starts, ends["run"].eqNullSafe(F.col("from_run"))).select(
-        "doc_id", "text", "sketch", F.col("head").alias("next_text"), F.col("head_sketch").alias("next_sketch")
-    )
-    return inner.unionByName(edges)
