@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spendshift.llm.tables import text_slices
 
@@ -158,14 +159,20 @@ def fit(
     return Languages(names, stacked.astype(np.float32), idf)
 
 
-def identify(docs: DataFrame, model: Languages, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` with ``lang_pred`` and ``lang_score`` (the largest cosine, 0 to 1)."""
+def identify(
+    docs: DataFrame, model: Languages, text_col: str = "text", names: tuple[str, str] = ("lang_pred", "lang_score")
+) -> DataFrame:
+    """The rows of ``docs`` with the language and its score (the largest cosine, 0 to 1).
+
+    Columns of ``docs`` that have one of the two names are replaced.
+    """
+    docs = docs.drop(*names)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        names = np.array([*model.names, UNKNOWN], dtype=object)
+        languages = np.array([*model.names, UNKNOWN], dtype=object)
         for batch in batches:
             found, scores = [], []
             texts = batch.column(at)
@@ -177,12 +184,10 @@ def identify(docs: DataFrame, model: Languages, id_col: str = "doc_id", text_col
                     score = np.clip(cosines[np.arange(len(best)), best].astype(float), 0, 1)
                 else:
                     best, score = np.zeros(last - first, dtype=int), np.zeros(last - first)
-                found.append(names[np.where(lettered, best, len(model.names))])
+                found.append(languages[np.where(lettered, best, len(model.names))])
                 scores.append(np.where(lettered, score, 0.0))
             columns = [pa.array(np.concatenate(found) if found else [], pa.string()), pa.array(np.concatenate(scores) if scores else [], pa.float64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, "lang_pred", "lang_score"])
-
-    from pyspark.sql import types as T
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, *names])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
     return docs.mapInArrow(run, schema)

@@ -174,8 +174,9 @@ def fit(
     return grow(table[order], label[order].astype(float))
 
 
-def score(docs: DataFrame, model: Trees, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` with ``quality_score`` (0 to 1, higher is better)."""
+def score(docs: DataFrame, model: Trees, text_col: str = "text", name: str = "quality_score") -> DataFrame:
+    """The rows of ``docs`` with a score from 0 to 1, higher is better; a column of that name is replaced."""
+    docs = docs.drop(name)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
@@ -183,6 +184,6 @@ def score(docs: DataFrame, model: Trees, text_col: str = "text") -> DataFrame:
         for batch in batches:
             scores = [shared.value.score(table) for table in _slices(batch.column(at))]
             column = pa.array(np.concatenate(scores) if scores else [], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, column], [*batch.schema.names, "quality_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, column], [*batch.schema.names, name])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("quality_score", T.DoubleType())]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))

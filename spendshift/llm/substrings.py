@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spendshift.llm.tables import settle, text_slices, words_of
@@ -33,6 +33,11 @@ from spendshift.session import scratch_path
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 
 
+def version_of(digest: Column) -> Column:
+    """A short mark that tells texts of one id apart."""
+    return F.hash(digest).alias("version")
+
+
 def _windows(place: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Row and word number of every window that lies within one row of a run."""
     counts = np.maximum(np.diff(place) - length + 1, 0)
@@ -177,11 +182,11 @@ def drop_repeats(docs: DataFrame, words: int = 50, id_col: str = "doc_id", text_
     if words < 2:
         raise ValueError("a window has two words or more")
     rows = docs.select(
-        F.col(id_col).alias("doc_id"), F.unhex(F.sha2(F.col(text_col).cast("binary"), 256)).alias("digest"),
+        F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.sha2(F.col(text_col).cast("binary"), 256)).alias("digest"),
         F.col(text_col).alias("text"),
     )
     # A digest tells texts of one id apart wherever ids repeat.
-    version = F.hash("digest").alias("version")
+    version = version_of(F.col("digest"))
     found = settle(
         rows.mapInArrow(_summaries(words), "doc_id long, digest binary, n_words long, words_sha256 string, anchors array<long>")
     )
@@ -222,7 +227,7 @@ def drop_repeats(docs: DataFrame, words: int = 50, id_col: str = "doc_id", text_
         _cut(words), "doc_id long, version int, n_removed long, kept_sha256 string, kept_text string"
     )
 
-    copies = found.join(firsts, "digest", "left").withColumn("version", F.hash("digest"))
+    copies = found.join(firsts, "digest", "left").withColumn("version", version_of(F.col("digest")))
     whole = F.coalesce((F.col("n_words") >= words) & (F.col("doc_id") > F.col("first")), F.lit(False))
     return copies.drop("anchors").join(cut, ["doc_id", "version"], "left").select(
         "doc_id", "digest", "n_words",
@@ -230,7 +235,3 @@ def drop_repeats(docs: DataFrame, words: int = 50, id_col: str = "doc_id", text_
         F.when(whole, EMPTY_SHA).otherwise(F.coalesce("kept_sha256", "words_sha256")).alias("kept_sha256"),
         F.when(whole, "").otherwise(F.col("kept_text")).alias("kept_text"),
     )
-
-
-def version_of(digest):
-    return F.hash(digest).alias("version")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from spendshift.session import settle
 
-__all__ = ["held_out", "read", "settle", "shared_rows", "text_slices", "words_of"]
+__all__ = ["held_out", "read", "settle", "text_slices", "unused", "words_of"]
 
 # The word separators of all word operators: space, and tab to carriage return.
 _SPACE = np.zeros(256, dtype=bool)
@@ -28,9 +28,12 @@ def held_out(doc_id: Column, parts: int, part: int) -> Column:
     return F.coalesce(remainder == part, F.lit(False))
 
 
-def shared_rows(df: DataFrame, keys: list[str], count: str = "copies") -> DataFrame:
-    """Equal rows folded to one with their number."""
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(count))
+def unused(df: DataFrame, name: str) -> str:
+    """The name, lengthened until no column of ``df`` has it."""
+    taken = {column.lower() for column in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def text_slices(texts: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

@@ -108,4 +108,5 @@ def apply_rules(pages: DataFrame, rules: DataFrame, url_col: str = "url", defaul
     judged = judge(pages, rules, url_col, default).select(
         F.col("url").alias("__url"), F.struct("host", "path", "rule", "verdict").alias("judged")
     )
+    pages = pages.drop("judged")
     return pages.join(judged, pages[url_col].eqNullSafe(F.col("__url")), "left").drop("__url")
