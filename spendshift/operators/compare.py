@@ -22,7 +22,6 @@ from spendshift.schemas import TOTAL
 from spendshift.session import settle
 
 KEY = ["provider", "dimension", "key"]
-MAX_BROADCAST_CANDIDATES = 2_000
 
 
 @dataclass(frozen=True)
@@ -33,9 +32,8 @@ class Thresholds:
     max_candidates: int = 8
 
     def __post_init__(self) -> None:
-        # The kept candidates are broadcast to the evidence tables; this bounds their size.
-        if not 0 < self.max_candidates <= MAX_BROADCAST_CANDIDATES:
-            raise ValueError(f"max_candidates must be 1 to {MAX_BROADCAST_CANDIDATES}")
+        if self.max_candidates < 1:
+            raise ValueError("max_candidates must be 1 or more")
 
 
 # ------------------------------------------------------------------ keys
@@ -119,24 +117,36 @@ def rank_order() -> list[Column]:
 
 # ------------------------------------------------------------------ description of keys
 
-FACTS = ("service", "sku", "account", "region", "resource", "resource_name", "currency", "day", "tag")
+# First seen per key, by column; the currency is the one last seen.
+FIRST_SEEN = {
+    "account": "billing_account_id", "region": "region_id", "resource": "resource_id", "resource_name": "resource_name",
+}
+LISTED = ("service", "sku", "day", "tag")
+FACTS = (*LISTED, *FIRST_SEEN, "currency")
 
 
-def key_facts(keyed: DataFrame, kinds: Sequence[str] = FACTS) -> DataFrame:
-    """Distinct attribute values per key with their current cost and first and last sight.
+def first_seen(keyed: DataFrame, kinds: Sequence[str] = FACTS) -> DataFrame:
+    """One row per key with the attributes that are a single first or last value."""
 
-    One scan and one map-side combined shuffle serve every attribute, so the result is as
-    small as the distinct values and a hot key is already folded when it is shuffled.
+    def filled(name: str) -> Column:
+        return F.when(F.coalesce(F.col(name), F.lit("")) != "", F.struct("seq", name))
+
+    picks = [F.min(filled(column))[column].alias(column) for kind, column in FIRST_SEEN.items() if kind in kinds]
+    if "currency" in kinds:
+        picks.append(F.coalesce(F.max(filled("currency"))["currency"], F.lit("USD")).alias("currency"))
+    return keyed.groupBy(*KEY).agg(*picks) if picks else keyed.select(*KEY).distinct()
+
+
+def key_facts(keyed: DataFrame, kinds: Sequence[str] = LISTED) -> DataFrame:
+    """Distinct services, SKUs, current days and tags per key, with their cost and first sight.
+
+    Only attributes of which a key has several are listed; one map-side combined shuffle
+    serves them all.
     """
     current = F.col("window") == "current"
     values = {
         "service": F.col("service_name"),
         "sku": F.col("sku_id"),
-        "account": F.col("billing_account_id"),
-        "region": F.col("region_id"),
-        "resource": F.col("resource_id"),
-        "resource_name": F.col("resource_name"),
-        "currency": F.col("currency"),
         "day": F.when(current, F.date_format("usage_date", "yyyy-MM-dd")),
     }
 
@@ -151,21 +161,19 @@ def key_facts(keyed: DataFrame, kinds: Sequence[str] = FACTS) -> DataFrame:
     if "tag" in kinds:
         tags = F.transform(F.map_entries("tags"), lambda e: fact("tag", e["key"], e["value"]))
         lists.append(F.filter(F.coalesce(tags, F.array()), lambda f: f["value"].isNotNull()))
-    facts = F.concat(*lists)
     exploded = keyed.select(
-        *KEY, "seq", F.when(current, F.col("effective_cost")).alias("cost"), F.explode(facts).alias("f")
+        *KEY, "seq", F.when(current, F.col("effective_cost")).alias("cost"), F.explode(F.concat(*lists)).alias("f")
     )
     return exploded.groupBy(*KEY, "f.fact", "f.name", "f.value").agg(
-        total(F.col("cost")).alias("cost"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq")
+        total(F.col("cost")).alias("cost"), F.min("seq").alias("first_seq")
     )
 
 
 def describe_facts(facts: DataFrame) -> DataFrame:
-    """One row per key: dominant service, first-seen attributes, SKUs, tags, daily costs."""
+    """One row per key: dominant service, SKUs, tags, daily costs."""
     value, kind = F.col("value"), F.col("fact")
     per_name = facts.groupBy(*KEY, "fact", "name").agg(
         F.min(F.struct("first_seq", "value")).alias("first"),
-        F.max(F.struct("last_seq", "value")).alias("last"),
         F.max(F.struct("cost", (-F.col("first_seq")).alias("early"), "value")).alias("top"),
         F.collect_set(F.when(kind == "sku", value)).alias("skus"),
         # At most one entry per day of the current period.
@@ -178,18 +186,27 @@ def describe_facts(facts: DataFrame) -> DataFrame:
     first = F.col("first.value")
     top_service = F.when(F.col("top.cost") > 0, F.col("top.value")).otherwise(first)
     tag = F.when(F.col("fact") == "tag", F.struct(F.col("name").alias("key"), first.alias("value")))
-    described = per_name.groupBy(*KEY).agg(
+    return per_name.groupBy(*KEY).agg(
         pick("service", top_service).alias("service_name"),
-        pick("account", first).alias("billing_account_id"),
-        pick("region", first).alias("region_id"),
-        pick("resource", first).alias("resource_id"),
-        pick("resource_name", first).alias("resource_name"),
-        F.coalesce(pick("currency", F.col("last.value")), F.lit("USD")).alias("currency"),
-        F.array_sort(F.coalesce(pick("sku", F.col("skus")), F.array())).alias("sku_ids"),
-        F.coalesce(pick("day", F.col("days")), F.array()).alias("days"),
+        pick("sku", F.col("skus")).alias("sku_ids"),
+        pick("day", F.col("days")).alias("days"),
         F.map_from_entries(F.array_sort(F.collect_list(tag))).alias("tags"),
     )
-    return described.withColumn("service_category", service_category(F.col("service_name")))
+
+
+def describe_keys(keyed: DataFrame, kinds: Sequence[str] = FACTS) -> DataFrame:
+    """One row per key with the wanted kinds of attributes."""
+    rows = first_seen(keyed, kinds)
+    listed = [kind for kind in LISTED if kind in kinds]
+    if not listed:
+        return rows
+    told = rows.join(describe_facts(key_facts(keyed, listed)), KEY, "left")
+    return (
+        told.withColumn("sku_ids", F.array_sort(F.coalesce("sku_ids", F.array().cast("array<string>"))))
+        .withColumn("days", F.coalesce("days", F.array().cast(told.schema["days"].dataType)))
+        .withColumn("tags", F.coalesce("tags", F.create_map().cast("map<string,string>")))
+        .withColumn("service_category", service_category(F.col("service_name")))
+    )
 
 
 def first_spike(baseline: Period) -> Column:
@@ -208,7 +225,7 @@ def describe(
     keyed: DataFrame, changes: DataFrame, baseline: Period, kinds: Sequence[str] = FACTS
 ) -> DataFrame:
     """Attach names, first-seen attributes, SKUs, tags, currency and spike date to changes."""
-    described = changes.join(describe_facts(key_facts(keyed, kinds)), KEY, "left")
+    described = changes.join(describe_keys(keyed, kinds), KEY, "left")
     return described.withColumn("first_spike_date", first_spike(baseline)).drop("days")
 
 
@@ -220,7 +237,9 @@ def material_candidates(
 ) -> DataFrame:
     """The first few material increases per provider, with their rank among all keys.
 
-    The rank counts the keys ahead of each kept candidate instead of sorting all keys.
+    Each key is placed among the sorted places of the kept candidates, the keys of each
+    interval are counted, and a running sum over the intervals gives the ranks: no row is
+    multiplied and no provider's keys are sorted.
     """
     per_provider = Window.partitionBy("provider").orderBy(*rank_order())
     kept = (
@@ -232,14 +251,21 @@ def material_candidates(
         (-F.col("raw_delta")).alias("d"), F.col("first_seq").alias("s"), F.col("dimension").alias("m"),
         F.col("key").alias("k"),
     )
-    marks = kept.select("provider", *KEY[1:], place.alias("__mark"))
+    marks = kept.groupBy("provider").agg(F.array_sort(F.collect_list(place)).alias("__marks"))
+    passed = F.size(F.filter("__marks", lambda mark: mark <= F.col("__place"))).cast("bigint")
+    counted = (
+        changes.select("provider", place.alias("__place")).join(marks, "provider")
+        .groupBy("provider", passed.alias("__at")).agg(F.count(F.lit(1)).alias("__keys"))
+    )
+    slots = kept.select(
+        "provider", (F.col("kept_position") - 1).cast("bigint").alias("__at"), F.lit(0).cast("bigint").alias("__keys"), "kept_position"
+    )
+    running = Window.partitionBy("provider").orderBy("__at").rangeBetween(Window.unboundedPreceding, 0)
     ahead = (
-        changes.select("provider", place.alias("__place"))
-        .join(F.broadcast(marks), "provider")
-        .groupBy(*KEY)
-        .agg(F.count(F.when(F.col("__place") < F.col("__mark"), 1)).alias("position"))
+        slots.unionByName(counted, allowMissingColumns=True).withColumn("position", F.sum("__keys").over(running))
+        .filter(F.col("kept_position").isNotNull()).select("provider", "kept_position", "position")
     )
-    return kept.join(ahead, KEY).withColumn(
+    return kept.join(ahead, ["provider", "kept_position"]).withColumn(
         "candidate_id", _numbered_id(F.concat(F.col("provider"), F.lit("-cand-")))
     )
 
@@ -270,8 +296,7 @@ def candidates(
         changes = compare_keys(costs, current, baseline)
     kept = settle(material_candidates(changes, thresholds))
     keyed = with_partition_key(with_window(costs, current, baseline))
-    # At most max_candidates rows per provider reach the broadcast.
-    own_rows = keyed.join(F.broadcast(kept.select(*KEY)), KEY, "left_semi")
+    own_rows = keyed.join(kept.select(*KEY), KEY, "left_semi")
     return describe(own_rows, kept, baseline)
 
 
@@ -372,7 +397,7 @@ def breakdown(
     )
     prefix = F.concat(F.col("provider"), F.lit("-"), F.col("dimension"), F.lit("-"))
     kept = settle(kept.withColumn("candidate_id", _numbered_id(prefix)))
-    own_rows = keyed.join(F.broadcast(kept.select(*KEY)), KEY, "left_semi")
+    own_rows = keyed.join(kept.select(*KEY), KEY, "left_semi")
     return describe(own_rows, kept, baseline)
 
 

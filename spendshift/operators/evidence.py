@@ -1,7 +1,7 @@
 """Evidence for candidates.
 
-Candidates are few (bounded per provider), so they are broadcast to the metric, audit,
-inventory and recommendation tables, which are filtered before any shuffle.
+Candidates are few per provider; whether they are broadcast to the metric, audit, inventory
+and recommendation tables is left to Spark, which knows their size.
 """
 
 from __future__ import annotations
@@ -28,9 +28,8 @@ EVIDENCE_COLUMNS = [
 
 
 def _resource_candidates(candidates: DataFrame, *extra: str) -> DataFrame:
-    """The candidates that name a resource, as a broadcast key table."""
-    keys = candidates.filter(F.col("resource_id").isNotNull()).select(*CANDIDATE, "resource_id", *extra)
-    return F.broadcast(keys)
+    """The candidates that name a resource."""
+    return candidates.filter(F.col("resource_id").isNotNull()).select(*CANDIDATE, "resource_id", *extra)
 
 
 # ------------------------------------------------------------------ joins
@@ -112,18 +111,33 @@ def candidate_events(candidates: DataFrame, audit: DataFrame, current: Period) -
     touched = inside.withColumn("resource_id", F.explode(F.array_distinct("resource_ids")))
     by_resource = touched.join(_resource_candidates(candidates), ["provider", "resource_id"])
     services = candidates.filter(F.col("resource_id").isNull()).select(*CANDIDATE)
-    by_service = inside.join(F.broadcast(services), "provider")
+    by_service = inside.join(services, "provider")
     columns = [*audit.columns, "candidate_id"]
     return by_resource.select(*columns).unionByName(by_service.select(*columns))
 
 
-def leading_events(events: DataFrame) -> DataFrame:
-    """The first events of every name per candidate: enough to match and to cite.
+def _first_of_name(events: DataFrame, *scope: str, limit: int) -> DataFrame:
+    per = Window.partitionBy(*scope, "event_name").orderBy("event_time", "seq", "event_id")
+    return events.withColumn("__n", F.row_number().over(per)).filter(F.col("__n") <= limit).drop("__n")
 
-    Any choice of names takes its first events from these, so the audit table is read once.
+
+def leading_events(
+    candidates: DataFrame, audit: DataFrame, current: Period, limit: int = MAX_AUDIT
+) -> DataFrame:
+    """The first events of every name in each candidate's scope: enough to match and to cite.
+
+    A service candidate's scope is its provider, so those events are cut once per provider
+    and only what is left meets the candidates.
     """
-    per = Window.partitionBy(*CANDIDATE, "event_name").orderBy("event_time", "seq", "event_id")
-    return events.withColumn("__n", F.row_number().over(per)).filter(F.col("__n") <= MAX_AUDIT).drop("__n")
+    inside = audit.filter(current.contains(F.to_date("event_time")))
+    touched = inside.withColumn("resource_id", F.explode(F.array_distinct("resource_ids")))
+    by_resource = _first_of_name(
+        touched.join(_resource_candidates(candidates), ["provider", "resource_id"]), *CANDIDATE, limit=limit
+    )
+    services = candidates.filter(F.col("resource_id").isNull()).select(*CANDIDATE)
+    by_service = _first_of_name(inside, "provider", limit=limit).join(services, "provider")
+    columns = [*audit.columns, "candidate_id"]
+    return by_resource.select(*columns).unionByName(by_service.select(*columns))
 
 
 def first_recommendations(candidates: DataFrame, recommendations: DataFrame) -> DataFrame:
@@ -139,7 +153,7 @@ def first_recommendations(candidates: DataFrame, recommendations: DataFrame) ->
 
 def chosen_metrics(series: DataFrame, specs: DataFrame) -> DataFrame:
     """Up to three series per candidate: those the playbook names, else all of them."""
-    named = series.join(F.broadcast(specs), CANDIDATE).withColumn(
+    named = series.join(specs, CANDIDATE).withColumn(
         "__wanted", (F.size("metric_names") == 0) | contains_any(F.col("metric_name"), F.col("metric_names"))
     )
     per = Window.partitionBy(*CANDIDATE)
@@ -154,7 +168,7 @@ def chosen_metrics(series: DataFrame, specs: DataFrame) -> DataFrame:
 
 def chosen_events(events: DataFrame, specs: DataFrame) -> DataFrame:
     """Up to three events per candidate by time, with a name the playbook watches."""
-    named = events.join(F.broadcast(specs), CANDIDATE).filter(
+    named = events.join(specs, CANDIDATE).filter(
         (F.size("audit_event_patterns") == 0)
         | contains_any(F.col("event_name"), F.col("audit_event_patterns"))
     )

@@ -51,8 +51,8 @@ def _placeholders() -> dict[str, Column]:
     }
 
 
-def evidence_summary(evidence: DataFrame) -> DataFrame:
-    return evidence.groupBy(*CANDIDATE).agg(
+def evidence_summary(evidence: DataFrame, *extra: str) -> DataFrame:
+    return evidence.groupBy(*CANDIDATE, *extra).agg(
         F.array_sort(F.collect_set("source_type")).alias("kinds"),
         F.max("contains_untrusted_text").alias("untrusted"),
         F.count(F.lit(1)).alias("evidence_count"),
@@ -119,7 +119,8 @@ def finish_findings(joined: DataFrame, current: Period) -> DataFrame:
         F.col("resource_id").isNotNull(), F.array("resource_id")
     ).otherwise(F.array().cast("array<string>"))
     per = Window.partitionBy("provider").orderBy("kept_position")
-    number = F.lpad(F.row_number().over(per).cast("string"), 2, "0")
+    count = F.row_number().over(per).cast("string")
+    number = F.when(F.length(count) < 2, F.lpad(count, 2, "0")).otherwise(count)
     texts = _placeholders()
     return joined.select(
         F.concat(F.upper("provider"), F.lit("-F"), number).alias("finding_id"),
@@ -212,10 +213,10 @@ def record_claims(
     )
     cited = named.select("claim_id", *CANDIDATE, F.explode("evidence_ids").alias("evidence_id"))
     pool = evidence.drop("candidate_id")
-    summary = evidence_summary(cited.join(pool, ["provider", "evidence_id"]))
+    summary = evidence_summary(cited.join(pool, ["provider", "evidence_id"]), "claim_id")
     incomplete = gaps.select("provider", F.col("is_incomplete").alias("incomplete"))
     answered = select_rules(rule_questions(merged, current), rules, as_of)
-    joined = answered.join(summary, CANDIDATE).join(F.broadcast(incomplete), "provider", "left").withColumn(
+    joined = answered.join(summary, [*CANDIDATE, "claim_id"]).join(F.broadcast(incomplete), "provider", "left").withColumn(
         "incomplete", F.coalesce("incomplete", F.lit(False))
     )
     return finish_findings(joined, current)
@@ -233,13 +234,13 @@ def known_resources(costs: DataFrame, inventory: DataFrame) -> DataFrame:
 def unknown_resources(findings: DataFrame, known: DataFrame) -> DataFrame:
     """Listed resources not known to the provider; a provider without known ids is not checked."""
     listed = findings.select("finding_id", "provider", F.explode("affected_resources").alias("resource_id"))
-    wanted = F.broadcast(listed.select("provider", "resource_id").distinct())
+    wanted = listed.select("provider", "resource_id").distinct()
     present = known.join(wanted, ["provider", "resource_id"], "left_semi").distinct()
     checked = known.select("provider").distinct()
     return (
-        listed.join(F.broadcast(checked), "provider", "left_semi")
+        listed.join(checked, "provider", "left_semi")
         .filter(~F.startswith(F.col("resource_id"), F.concat(F.col("provider"), F.lit(":"))))
-        .join(F.broadcast(present), ["provider", "resource_id"], "left_anti")
+        .join(present, ["provider", "resource_id"], "left_anti")
     )
 
 

@@ -50,7 +50,7 @@ def recent(states: DataFrame, limit: int = 50) -> DataFrame:
 
 def pruned(states: DataFrame, events: DataFrame, keep: int = 50) -> tuple[DataFrame, DataFrame]:
     """The newest states and their events; everything else is dropped."""
-    kept = F.broadcast(recent(states, keep).select("investigation_id"))
+    kept = recent(states, keep).select("investigation_id")
     return (
         states.join(kept, "investigation_id", "left_semi"),
         events.join(kept, "investigation_id", "left_semi"),

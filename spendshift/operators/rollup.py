@@ -31,7 +31,7 @@ def rejection_reason() -> Column:
 def quarantine(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Split into (usable rows, rejected rows with a reason code and no values)."""
     judged = rows.withColumn("code", rejection_reason())
-    position = [c for c in ("source_file", "split_start", "position", "seq") if c in rows.columns]
+    position = [c for c in ("source_file", "line", "position", "row_number", "seq") if c in rows.columns]
     return judged.filter("code is null").drop("code"), judged.filter("code is not null").select(
         *position, "provider", "code"
     )
@@ -40,36 +40,30 @@ def quarantine(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 def daily_rollup(costs: DataFrame) -> DataFrame:
     """Collapse rows to one per day, key and tag set; money and quantity are summed exactly.
 
-    The first pass groups with the descriptive columns included, so its buffers are plain
-    numbers that combine map-side; the second picks first values on the reduced rows.
+    One aggregation: a task folds its own rows of a key, first values included, before the
+    shuffle, so a hot key arrives as one row per task.
     """
     tag_set = F.sort_array(F.map_entries(F.coalesce("tags", F.create_map().cast("map<string,string>"))))
-    described = costs.withColumn("tag_set", tag_set)
-    fine = described.groupBy(*ROLLUP_KEYS, "tag_set", *_FIRST_ROW, *_FIRST_FILLED).agg(
-        *[F.sum(c).alias(c) for c in ("usage_quantity", "billed_cost", "effective_cost")],
-        F.min("seq").alias("first_seq"),
-    )
-    first_row = F.min(F.struct("first_seq", *_FIRST_ROW)).alias("first")
     filled = [
-        F.min(F.when(F.coalesce(F.col(c), F.lit("")) != "", F.struct("first_seq", c))).alias(c)
+        F.min(F.when(F.coalesce(F.col(c), F.lit("")) != "", F.struct("seq", c))).alias(f"__{c}")
         for c in _FIRST_FILLED
     ]
-    coarse = fine.groupBy(*ROLLUP_KEYS, "tag_set").agg(
+    coarse = costs.withColumn("tag_set", tag_set).groupBy(*ROLLUP_KEYS, "tag_set").agg(
         *[F.sum(c).cast(MONEY).alias(c) for c in ("usage_quantity", "billed_cost", "effective_cost")],
-        first_row,
+        F.min(F.struct("seq", *_FIRST_ROW)).alias("first"),
         *filled,
         # Unlike units share a row when all keys agree; the flag says so.
         (F.min("usage_unit") != F.max("usage_unit")).alias("mixed_units"),
     )
     rolled = (
         coarse.withColumn("tags", F.map_from_entries("tag_set"))
-        .withColumn("seq", F.col("first.first_seq"))
+        .withColumn("seq", F.col("first.seq"))
         .withColumn("source_record_id", F.lit(None).cast("string"))
     )
     for name in _FIRST_ROW:
         rolled = rolled.withColumn(name, F.col(f"first.{name}"))
     for name in _FIRST_FILLED:
-        rolled = rolled.withColumn(name, F.col(f"{name}.{name}"))
+        rolled = rolled.withColumn(name, F.col(f"__{name}.{name}"))
     return rolled.select(*COST.names, "mixed_units")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spendshift.operators import coverage
-from spendshift.operators.rollup import daily_rollup, quarantine, with_record_ids
+from spendshift.operators.rollup import daily_rollup, quarantine, rejection_reason, with_record_ids
 from spendshift.session import prepare, settle
 from spendshift.sources import landing, native
 from spendshift.sources.store import ingest_report
@@ -27,48 +27,67 @@ class Ingested:
     detected_format: str
 
 
+def inspect(spark: SparkSession, path: str, provider: str) -> tuple[DataFrame, DataFrame]:
+    """(offenders, detected): files that must be refused with the reason, and every file's format."""
+    lines = landing.read_lines(spark, path)
+    detected = settle(landing.detect_formats(lines))
+    secret = landing.credential_findings(lines).select(
+        "source_file", F.lit("credential_shaped").alias("reason"), F.array_join("markers", ", ").alias("detail")
+    )
+    wrong = landing.format_mismatches(detected, provider).select(
+        "source_file", "reason", F.concat_ws(" with columns ", F.coalesce("detected_format", F.lit("unknown")), "found_columns").alias("detail")
+    )
+    return settle(secret.unionByName(wrong)), detected
+
+
 def detect(spark: SparkSession, path: str, provider: str) -> str:
     """The one format of the landed files; anything else, or a credential, is refused."""
-    lines = landing.read_lines(spark, path)
-    markers = landing.credential_findings(lines).limit(1).collect()
-    if markers:
-        raise RefusedUpload(f"credential-shaped fields found: {', '.join(markers[0].markers)}")
-    detected = landing.detect_formats(lines)
-    wrong = landing.format_mismatches(detected, provider).limit(1).collect()
-    if wrong:
-        raise RefusedUpload(
-            f"{wrong[0].reason}: expected a {provider} export, found {wrong[0].detected_format} "
-            f"with columns {wrong[0].found_columns}"
-        )
+    offenders, detected = inspect(spark, path, provider)
+    _refuse(offenders, f"not a usable {provider} export")
     formats = [row.detected_format for row in detected.select("detected_format").distinct().limit(2).collect()]
     if len(formats) != 1:
         raise RefusedUpload(f"expected files of one format, found {len(formats)}")
     return formats[0]
 
 
-def ingest_costs(
-    spark: SparkSession,
-    path: str,
-    provider: str,
-    detected_format: str | None = None,
-    multi_line: bool = True,
-) -> Ingested:
-    """Detect, read, date, quarantine, check the currency and roll up to daily grain."""
+def _refuse(offenders: DataFrame, what: str) -> None:
+    """Raise if there are offenders; the message shows a few, ``offenders`` holds all of them."""
+    shown = offenders.orderBy("reason", "source_file").limit(5).collect()
+    if shown:
+        number = offenders.select("source_file").distinct().count()
+        first = "; ".join(f"{row.reason} ({row.detail})" for row in shown)
+        raise RefusedUpload(f"{number} files are {what}: {first}", offenders)
+
+
+def ingest_costs(spark: SparkSession, path: str, provider: str, detected_format: str | None = None) -> Ingested:
+    """Detect, read, date, quarantine, check the currency and roll up to daily grain.
+
+    Credentials and formats are checked in any case. A file without a usable row is refused.
+    Exports that are not text (Parquet) are named by ``detected_format``.
+    """
     prepare(spark)
-    detected_format = detected_format or detect(spark, path, provider)
-    rows = native.native_costs(spark, path, detected_format, multi_line)
+    if detected_format is None or not detected_format.endswith("-parquet"):
+        found = detect(spark, path, provider)
+        if detected_format not in (None, found):
+            raise RefusedUpload(f"expected {detected_format}, found {found}")
+        detected_format = found
+    rows = native.native_costs(spark, path, detected_format)
     usable, rejected = quarantine(rows)
+    per_file = rows.groupBy("source_file").agg(F.count(F.when(rejection_reason().isNull(), 1)).alias("usable"))
+    hollow = per_file.filter("usable = 0").select(
+        "source_file", F.lit("no_usable_row").alias("reason"), F.substring_index("source_file", "/", -1).alias("detail")
+    )
+    _refuse(hollow, "without a usable row")
     through = {
         "aws": coverage.aws_data_through, "azure": coverage.azure_data_through, "gcp": coverage.gcp_data_through,
     }[provider](rows)
     rolled = settle(daily_rollup(usable))
+    if rolled.isEmpty():
+        raise RefusedUpload("the upload has no rows")
     currency = coverage.currencies(rolled).first()
     if currency.is_mixed:
         raise RefusedUpload(f"mixed currencies: {', '.join(currency.currencies)}")
     costs = with_record_ids(rolled)
-    if "position" in rejected.columns:
-        numbered = rejected.withColumn("row_number", (F.col("position") + 1).cast("bigint"))
-    else:
-        numbered = landing.with_row_number(rows, rejected)
-    rejections = numbered.select("source_file", "row_number", "provider", "code")
+    number = landing.row_number_of(rejected) if "position" in rejected.columns else F.col("row_number")
+    rejections = rejected.select("source_file", number.alias("row_number"), "provider", "code")
     return Ingested(costs, rejections, ingest_report(rows, rejected, rolled), through, detected_format)

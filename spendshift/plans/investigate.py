@@ -67,12 +67,12 @@ def case_files(request: Request, tables: Tables, candidates: DataFrame) -> dict[
         evidence.candidate_series(candidates, tables.points, request.current, request.baseline)
     )
     events = settle(
-        evidence.leading_events(evidence.candidate_events(candidates, tables.audit, request.current))
+        evidence.leading_events(candidates, tables.audit, request.current)
     )
     scores = playbooks.match_scores(candidates, tables.playbooks, tables.inventory, series, events)
     chosen = settle(playbooks.best_playbooks(candidates, scores))
     specs = chosen.select(*evidence.CANDIDATE, "metric_names", "audit_event_patterns")
-    place = F.broadcast(candidates.select(*evidence.CANDIDATE, "kept_position"))
+    place = candidates.select(*evidence.CANDIDATE, "kept_position")
     gaps = settle(gaps_of(request, tables))
 
     def placed(rows: DataFrame) -> DataFrame:

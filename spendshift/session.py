@@ -10,30 +10,27 @@ from pyspark.sql import DataFrame, SparkSession
 RUNTIME_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
-    "spark.sql.adaptive.enabled": "true",
-    "spark.sql.adaptive.skewJoin.enabled": "true",
-    "spark.sql.sources.partitionOverwriteMode": "dynamic",
-    "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # HotSpot leaves methods beyond 8000 bytes of bytecode interpreted; wide projections exceed it.
-    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings; safe to call before every query."""
+    """Set what results depend on and nothing else; safe to call before every query."""
     for key, value in RUNTIME_SETTINGS.items():
         spark.conf.set(key, value)
     return spark
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a private one only where none is set."""
+    """The shared folder the cluster names; a private one only in local mode, where none is set."""
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current:
         return current
-    configured = context.getConf().get("spark.checkpoint.dir", None)
-    folder = configured or tempfile.mkdtemp(prefix="spendshift-checkpoint-")
+    folder = context.getConf().get("spark.checkpoint.dir", None)
+    if not folder:
+        if not context.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="spendshift-checkpoint-")
     context.setCheckpointDir(folder)
     return context.getCheckpointDir() or folder
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -68,10 +70,54 @@ def detect_formats(lines: DataFrame) -> DataFrame:
         .when(any_of(AWS_MARKERS), F.concat(F.lit("aws-cur-"), tail))
         .when(any_of(GCP_MARKERS), F.concat(F.lit("gcp-billing-export-"), tail))
     )
-    found = F.array_join(F.slice(F.array_sort(F.array_distinct("columns")), 1, 8), ", ")
+    found = F.array_join(F.array_sort(F.array_distinct("columns")), ", ")
     return named.select("source_file", detected.alias("detected_format"), found.alias("found_columns"))
 
 
+def file_shapes(spark: SparkSession, path: str) -> DataFrame:
+    """Per text file: its first filled line, whether that is a whole JSON value, its filled lines, open quotes.
+
+    Folded per file by partial aggregation; the result has one row per file.
+    """
+    filled = F.trim("value") != ""
+    line = F.regexp_replace("value", "^\ufeff", "")
+    odd = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    shapes = read_lines(spark, path).groupBy("source_file").agg(
+        F.min(F.when(filled, F.struct("place", line.alias("line")))).alias("first"),
+        F.count(F.when(filled, 1)).alias("filled_lines"),
+        F.coalesce(F.max(odd % 2 == 1), F.lit(False)).alias("has_open_quotes"),
+    )
+    first = F.col("first.line")
+    whole = F.json_object_keys(first).isNotNull() | F.json_array_length(first).isNotNull()
+    return shapes.select(
+        "source_file", first.alias("first_line"), F.coalesce(whole, F.lit(False)).alias("is_whole_value"), "filled_lines",
+        "has_open_quotes",
+    )
+
+
+def json_values(spark: SparkSession, path: str) -> DataFrame:
+    """The JSON values of a folder with their file and line (1 for a value that fills its file).
+
+    A file whose first line is a whole value and that has more lines holds one value per
+    line; any other file is one value.
+    """
+    shapes = file_shapes(spark, path).select("source_file", "is_whole_value", "filled_lines").collect()
+    by_line = [row.source_file for row in shapes if row.is_whole_value and row.filled_lines > 1]
+    single = [row.source_file for row in shapes if not (row.is_whole_value and row.filled_lines > 1)]
+    parts = []
+    if single or not by_line:
+        texts = spark.read.text(single or path, wholetext=True)
+        parts.append(texts.select(F.trim("value", F.lit(" \t\r\n\ufeff")).alias("value"), F.col("_metadata.file_path").alias("source_file"), F.lit(1).cast("bigint").alias("line")))
+    if by_line:
+        lines = spark.read.text(by_line).select(
+            F.trim("value", F.lit(" \t\r\n\ufeff")).alias("value"), F.col("_metadata.file_path").alias("source_file"),
+            F.col("_metadata.file_block_start").alias("split_start"), F.monotonically_increasing_id().alias("seq"),
+        )
+        numbered = with_row_number(lines, lines.filter("value <> ''")).withColumnRenamed("row_number", "line")
+        parts.append(numbered.select("value", "source_file", "line"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def format_mismatches(detected: DataFrame, provider: str) -> DataFrame:
     """Files that are not the named provider's export, with what they look like instead."""
     right = F.coalesce(F.startswith(F.col("detected_format"), F.lit(provider)), F.lit(False))
@@ -111,13 +157,25 @@ def with_row_number(rows: DataFrame, wanted: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ evidence items
 
 
-def read_items(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """Raw items of ``{"items": []}`` documents or one item per line, as JSON text with a position."""
-    schema = T.StructType([T.StructField("items", T.ArrayType(T.StringType()))])
-    documents = spark.read.schema(schema).option("multiLine", multi_line).json(path)
-    return documents.select(
-        F.col("_metadata.file_path").alias("source_file"), F.posexplode("items").alias("position", "item")
-    ).withColumn("seq", F.monotonically_increasing_id())
+def read_items(spark: SparkSession, path: str) -> DataFrame:
+    """Raw items as JSON text with their place: ``{"items": []}``, a bare array, or an item per line.
+
+    A value that is none of these is one item of its own, so that it can be refused by name.
+    """
+    values = json_values(spark, path)
+    held = F.from_json("value", "struct<items:array<string>>")["items"]
+    items = (
+        F.when(F.startswith("value", F.lit("[")), F.from_json("value", "array<string>"))
+        .otherwise(F.coalesce(held, F.array("value")))
+    )
+    return values.select("source_file", "line", F.posexplode(items).alias("position", "item")).withColumn(
+        "seq", F.monotonically_increasing_id()
+    )
+
+
+def row_number_of(rows: DataFrame) -> Column:
+    """Number of a JSON row in its file: its place in the file's one value, or its line."""
+    return F.when(F.col("line") > 1, F.col("line")).otherwise(F.col("position") + 1).cast("bigint")
 
 
 def _is_bad(raw: Column, kind: T.DataType) -> Column:
@@ -169,9 +227,9 @@ def evidence_items(items: DataFrame, provider: str, kind: str) -> tuple[DataFram
     extra = F.transform(
         F.array_except(F.map_keys("raw"), known), lambda name: F.concat(name, F.lit(" (unexpected)"))
     )
-    fields = F.slice(F.array_sort(F.array_distinct(F.concat(F.array_compact(F.array(*problems)), extra))), 1, 6)
+    fields = F.array_sort(F.array_distinct(F.concat(F.array_compact(F.array(*problems)), extra)))
     checked = raw.withColumn("problems", F.when(is_object, fields))
-    row_number = (F.col("position") + 1).alias("row_number")
+    row_number = row_number_of(items).alias("row_number")
     rejections = checked.filter(~is_object | (F.size("problems") > 0)).select(
         "source_file",
         row_number,

@@ -7,6 +7,7 @@ provider turns the text into the fixed cost schema. Columns that are absent read
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +25,7 @@ from spendshift.functions.money import net_of_credits
 from spendshift.operators.coverage import FOCUS_VERSION, require_focus_version
 from spendshift.periods import Period, in_any
 from spendshift.schemas import COST
+from spendshift.sources.landing import file_shapes, json_values, with_row_number
 
 AWS_COLUMNS = [
     "identity_line_item_id", "bill_payer_account_id", "line_item_usage_account_id",
@@ -52,54 +54,61 @@ def _col(df: DataFrame, name: str) -> Column:
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """CSV rows as text with their source order and file position."""
-    rows = spark.read.option("header", True).option("escape", '"').option("multiLine", False).csv(path)
-    return _with_order(rows)
+    """CSV rows as text, by the column names of each file's own header.
+
+    Files with the same header are one read. A file with a line of unpaired quotes has line
+    breaks inside fields and is read whole; all others stay splittable.
+    """
+    reads: dict[tuple[str, bool], list[str]] = {}
+    for row in file_shapes(spark, path).collect():
+        reads.setdefault((row.first_line, row.has_open_quotes), []).append(row.source_file)
+    if not reads:
+        return _with_order(spark.read.option("header", True).csv(path))
+    parts = []
+    for (_, multi_line), files in sorted(reads.items(), key=lambda item: item[1]):
+        rows = spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line).csv(files)
+        parts.append(_with_place(rows))
+    united = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return united.withColumn("seq", F.monotonically_increasing_id())
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     return _with_order(spark.read.parquet(path))
 
 
-def _with_order(rows: DataFrame) -> DataFrame:
+def _with_place(rows: DataFrame) -> DataFrame:
     names = [F.col(f"`{name}`") for name in rows.columns]
     return rows.select(
-        *names,
-        F.col("_metadata.file_path").alias("source_file"),
-        F.col("_metadata.file_block_start").alias("split_start"),
-        F.monotonically_increasing_id().alias("seq"),
+        *names, F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("split_start")
     )
 
 
-def read_json_rows(
-    spark: SparkSession, path: str, columns: Sequence[str], multi_line: bool = True
-) -> DataFrame:
-    """Rows of ``{"rows": []}``, ``{"items": []}`` or bare-array documents; non-objects drop out."""
-    entry = _texts(columns)
-    texts = T.ArrayType(T.StringType())
-    schema = T.StructType(
-        [T.StructField("rows", texts), T.StructField("items", texts), *entry.fields]
-    )
-    documents = spark.read.schema(schema).option("multiLine", multi_line).json(path)
-    own = F.to_json(F.struct(*[F.col(f"`{name}`") for name in columns]))
-    filled = F.when(F.size("rows") > 0, F.col("rows")).when(F.size("items") > 0, F.col("items"))
-    bare = F.col("rows").isNull() & F.col("items").isNull()
-    entries = F.when(bare, F.array(own)).otherwise(filled)
-    exploded = documents.select(
-        F.col("_metadata.file_path").alias("source_file"),
-        F.lit(0).cast("bigint").alias("split_start"),
-        F.posexplode(entries).alias("position", "entry"),
+def _with_order(rows: DataFrame) -> DataFrame:
+    return _with_place(rows).withColumn("seq", F.monotonically_increasing_id())
+
+
+def read_json_rows(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
+    """Rows of ``{"rows": []}``, ``{"items": []}`` or bare-array values; non-objects drop out."""
+    values = json_values(spark, path)
+    held = F.from_json("value", "struct<rows:array<string>,items:array<string>>")
+    listed = values.withColumn("held", held)
+    filled = F.when(F.size("held.rows") > 0, F.col("held.rows")).when(F.size("held.items") > 0, F.col("held.items"))
+    bare = F.col("held.rows").isNull() & F.col("held.items").isNull()
+    entries = (
+        F.when(F.startswith("value", F.lit("[")), F.from_json("value", "array<string>"))
+        .when(bare, F.array("value")).otherwise(filled)
     )
+    exploded = listed.select("source_file", "line", F.posexplode(entries).alias("position", "entry"))
     objects = exploded.filter(F.startswith(F.ltrim(F.col("entry")), F.lit("{")))
-    parsed = objects.withColumn("r", F.from_json("entry", entry))
+    parsed = objects.withColumn("r", F.from_json("entry", _texts(columns)))
     return parsed.select(
         *[F.col(f"r.`{name}`").alias(name) for name in columns],
-        "source_file", "split_start", "position",
+        "source_file", "line", "position",
         F.monotonically_increasing_id().alias("seq"),
     )
 
 
-def read_azure(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+def read_azure(spark: SparkSession, path: str) -> DataFrame:
     """Rows of Cost Management query results: column names and positional values per row."""
     fields = T.StructType(
         [
@@ -108,29 +117,36 @@ def read_azure(spark: SparkSession, path: str, multi_line: bool = True) -> DataF
         ]
     )
     schema = T.StructType([T.StructField("properties", fields), *fields.fields])
-    documents = spark.read.schema(schema).option("multiLine", multi_line).json(path)
+    documents = json_values(spark, path).withColumn("d", F.from_json("value", schema))
     both = documents.select(
-        F.col("_metadata.file_path").alias("source_file"),
-        F.coalesce("properties.columns", "columns").alias("columns"),
-        F.coalesce("properties.rows", "rows").alias("rows"),
+        "source_file",
+        "line",
+        F.coalesce("d.properties.columns", "d.columns").alias("columns"),
+        F.coalesce("d.properties.rows", "d.rows").alias("rows"),
     )
     return both.select(
-        "source_file",
-        F.lit(0).cast("bigint").alias("split_start"),
+        "source_file", "line",
         F.col("columns.name").alias("names"),
         F.posexplode("rows").alias("position", "entry"),
     ).select(
-        "source_file", "split_start", "position", "names",
+        "source_file", "line", "position", "names",
         F.from_json("entry", "array<string>").alias("values"),
         F.monotonically_increasing_id().alias("seq"),
     )
 
 
+def file_position(rows: DataFrame) -> Column:
+    """File name and place in it: the same after every read of the same file, and unique in a folder."""
+    parts = [F.substring_index("source_file", "/", -1)]
+    parts += [F.col(name).cast("string") for name in ("line", "position", "row_number") if name in rows.columns]
+    return F.concat_ws("-", *parts)
+
+
 # ------------------------------------------------------------------ normalisation
 
 
 def _rows(rows: DataFrame, columns: dict[str, Column]) -> DataFrame:
-    position = [name for name in ("seq", "source_file", "split_start", "position") if name in rows.columns]
+    position = [name for name in ("seq", "source_file", "line", "position", "row_number") if name in rows.columns]
     named = rows.select(*[c.alias(name) for name, c in columns.items()], *position)
     full = named.withColumn("service_category", service_category(F.col("service_name")))
     extra = [name for name in ("start_text", "end_text", *position) if name not in COST.names]
@@ -168,7 +184,7 @@ def aws_costs(rows: DataFrame) -> DataFrame:
         "tags": P.tags(c("resource_tags")),
         "commitment_discount_id": P.first_filled(c("savings_plan_savings_plan_a_r_n")),
         "source_record_id": P.first_filled(
-            c("identity_line_item_id"), F.concat(F.lit("aws-row-"), c("seq").cast("string"))
+            c("identity_line_item_id"), F.concat(F.lit("aws-row-"), file_position(rows))
         ),
         "start_text": c("line_item_usage_start_date"),
         "end_text": F.lit(None).cast("string"),
@@ -203,7 +219,7 @@ def azure_costs(rows: DataFrame) -> DataFrame:
         "currency": P.first_filled(c("Currency"), default="USD"),
         "tags": P.tags(c("Tags")),
         "commitment_discount_id": P.first_filled(c("ReservationId")),
-        "source_record_id": F.concat(F.lit("azure-row-"), F.col("position").cast("string")),
+        "source_record_id": F.concat(F.lit("azure-row-"), file_position(rows)),
         "start_text": c("UsageDate"),
         "end_text": F.lit(None).cast("string"),
     }
@@ -236,26 +252,29 @@ def gcp_costs(rows: DataFrame) -> DataFrame:
         "currency": P.first_filled(c("currency"), default="USD"),
         "tags": P.tags(c("labels")),
         "commitment_discount_id": P.first_filled(c("credits.name")),
-        "source_record_id": F.concat(F.lit("gcp-row-"), c("seq").cast("string")),
+        "source_record_id": F.concat(F.lit("gcp-row-"), file_position(rows)),
         "start_text": c("usage_start_time"),
         "end_text": c("usage_end_time"),
     }
     return _rows(rows, columns)
 
 
-def native_costs(spark: SparkSession, path: str, detected_format: str, multi_line: bool = True) -> DataFrame:
-    """Cost rows of one export whose format is known, with their source position."""
+def native_costs(spark: SparkSession, path: str, detected_format: str) -> DataFrame:
+    """Cost rows of one export whose format is known, with their source position.
+
+    How JSON values lie in the files is found from their content, never assumed.
+    """
     if detected_format == "azure-cost-management-json":
-        return azure_costs(read_azure(spark, path, multi_line))
+        return azure_costs(read_azure(spark, path))
     provider, container = detected_format.split("-")[0], detected_format.split("-")[-1]
     columns, normalise = (
         (AWS_COLUMNS, aws_costs) if provider == "aws" else (GCP_COLUMNS, gcp_costs)
     )
-    if container == "csv":
-        return normalise(read_csv(spark, path))
-    if container == "parquet":
-        return normalise(read_parquet(spark, path))
-    return normalise(read_json_rows(spark, path, columns, multi_line))
+    if container == "json":
+        return normalise(read_json_rows(spark, path, columns))
+    rows = read_csv(spark, path) if container == "csv" else read_parquet(spark, path)
+    # Only rows without an id of their own need a number; the numbers come from one row per split.
+    return normalise(with_row_number(rows, rows))
 
 
 # ------------------------------------------------------------------ stored costs and the FOCUS projection

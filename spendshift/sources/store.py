@@ -6,14 +6,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SLOT = ["dataset_id", "provider", "kind"]
-MAX_REPORTED_REJECTIONS = 50
 
 
-def replace_slot(rows: DataFrame, path: str, dataset_id: str, kind: str) -> None:
+def replace_slot(rows: DataFrame, path: str, dataset_id: str, kind: str, provider: str | None = None) -> None:
     """Write the rows of one (dataset, provider, kind) slot; an earlier ingest is replaced.
 
-    Only the partitions present in ``rows`` are overwritten, so other slots stay as they are.
+    With ``provider`` that slot is replaced even by no rows. Without it the slots present in
+    ``rows`` are replaced, and other slots stay as they are.
     """
+    if provider is not None:
+        slot = f"{path}/dataset_id={dataset_id}/provider={provider}/kind={kind}"
+        rows.filter(F.col("provider") == provider).drop("provider").write.mode("overwrite").parquet(slot)
+        return
     (
         rows.withColumn("dataset_id", F.lit(dataset_id))
         .withColumn("kind", F.lit(kind))
@@ -53,9 +57,10 @@ def ingest_report(raw: DataFrame, rejected: DataFrame, stored: DataFrame) -> Dat
     )
 
 
-def reported_rejections(rejected: DataFrame, *order: str) -> DataFrame:
-    """The first rejections by row order, as shown in a report; all of them stay in the table."""
-    return rejected.orderBy(*order).limit(MAX_REPORTED_REJECTIONS)
+def reported_rejections(rejected: DataFrame, *order: str, limit: int | None = 50) -> DataFrame:
+    """The first rejections by row order, as shown in a report (None: all); all of them stay in the table."""
+    ordered = rejected.orderBy(*order)
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def sealable(sources: DataFrame) -> DataFrame:

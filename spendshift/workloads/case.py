@@ -404,7 +404,7 @@ SELECT p.provider, p.resource_id, p.metric_name, count(*) AS points, CAST(sum(p.
 FROM points p SEMI JOIN cfull c ON c.provider = p.provider AND c.resource_id = p.resource_id GROUP BY ALL""")
 def s13(spark, sf):
     keys = candidates(spark, sf).filter("resource_id is not null")
-    own = filters.only_keys(metric_points(spark, sf), F.broadcast(keys), ["provider", "resource_id"])
+    own = filters.only_keys(metric_points(spark, sf), keys, ["provider", "resource_id"])
     return own.groupBy("provider", "resource_id", "metric_name").agg(
         F.count(F.lit(1)).alias("points"), F.sum("value").alias("total")
     )
@@ -461,7 +461,7 @@ def p16(spark, sf):
 SELECT candidate_id, category, score, priority FROM scores""")
 def j5(spark, sf):
     rows = candidates(spark, sf)
-    events = evidence.candidate_events(rows, audit_rows(spark, sf), CURRENT)
+    events = evidence.leading_events(rows, audit_rows(spark, sf), CURRENT)
     scores = playbooks.match_scores(rows, playbook_table(spark), inventory(spark, sf), series(spark, sf), events)
     return scores.select("candidate_id", F.col("spec_category").alias("category"), "score", F.col("spec_priority").alias("priority"))
 
@@ -858,7 +858,7 @@ SELECT 'candidates of provider', count(*) FROM cand WHERE provider = 'aws' UNION
 SELECT 'issues of finding', CAST(sum(CASE WHEN drifted THEN 1 ELSE 0 END + CASE WHEN no_rule THEN 1 ELSE 0 END) AS BIGINT) FROM val WHERE finding_id = 'AWS-F02'""")
 def f11(spark, sf):
     first = candidates(spark, sf).agg(F.min("candidate_id").alias("candidate_id"))
-    own = filters.only_keys(evidence_rows(spark, sf), F.broadcast(first), ["candidate_id"])
+    own = filters.only_keys(evidence_rows(spark, sf), first, ["candidate_id"])
     parts = {
         "evidence of candidate": own,
         "candidates of provider": candidates(spark, sf).filter(F.col("provider") == "aws"),

@@ -139,7 +139,7 @@ def _keyed(spark, sf):
 
 
 def _facts(spark, sf, *kinds):
-    return compare.describe_facts(compare.key_facts(_keyed(spark, sf), kinds))
+    return compare.describe_keys(_keyed(spark, sf), kinds)
 
 
 @query("a8_dominant_service", with_(COSTS) + """,

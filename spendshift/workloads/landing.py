@@ -42,13 +42,13 @@ def s1(spark, sf):
 @query("s6_aws_export_json", _native_sql("aws", extra=", source_record_id"))
 def s6(spark, sf):
     path = exports.aws_json_lines(spark, sf)
-    return native.native_costs(spark, path, "aws-cur-json", multi_line=False).select(*NATIVE, "source_record_id")
+    return native.native_costs(spark, path, "aws-cur-json").select(*NATIVE, "source_record_id")
 
 
 @query("s2_azure_query_result", _native_sql("azure", name="resource_id"))
 def s2(spark, sf):
     path = exports.azure_json_lines(spark, sf)
-    return native.native_costs(spark, path, "azure-cost-management-json", multi_line=False).select(*NATIVE)
+    return native.native_costs(spark, path, "azure-cost-management-json").select(*NATIVE)
 
 
 _SIGN = "CASE WHEN charge_category = 'credit' THEN -1 ELSE 1 END"
@@ -94,7 +94,7 @@ def _audit_path(spark, sf) -> str:
 SELECT 'aws' AS provider, event_id, event_name, strftime(event_time, '%Y-%m-%d %H:%M:%S') AS event_time, actor,
   'unknown' AS actor_type, r1 || '|' || r2 AS resource_ids, summary FROM audit WHERE {_AUDIT_ITEM} IS NULL""")
 def s4(spark, sf):
-    items = landing.read_items(spark, _audit_path(spark, sf), multi_line=False)
+    items = landing.read_items(spark, _audit_path(spark, sf))
     usable, _ = landing.evidence_items(items, "aws", "audit")
     return usable.select(
         "provider", "event_id", "event_name", "event_time", "actor", "actor_type", "resource_ids", "summary"
@@ -107,7 +107,7 @@ SELECT code, detail, count(*) AS items FROM (SELECT {_AUDIT_ITEM} AS code,
     THEN 'invalid or missing fields: event_time (invalid), surprise (unexpected)' ELSE 'invalid or missing fields: event_time (invalid)' END AS detail
   FROM audit) WHERE code IS NOT NULL GROUP BY ALL""")
 def s8(spark, sf):
-    items = landing.read_items(spark, _audit_path(spark, sf), multi_line=False)
+    items = landing.read_items(spark, _audit_path(spark, sf))
     _, rejected = landing.evidence_items(items, "aws", "audit")
     return rejected.groupBy("code", "detail").agg(F.count(F.lit(1)).alias("items"))
 
@@ -261,7 +261,7 @@ SELECT strftime(max(usage_date), '%Y-%m-%d') AS last_date, false AS is_partial,
   strftime(max(usage_date), '%Y-%m-%d') || ' 23:59:59' AS data_through FROM costs WHERE provider = 'azure'""")
 def a26(spark, sf):
     path = exports.azure_json_lines(spark, sf)
-    rows = native.native_costs(spark, path, "azure-cost-management-json", multi_line=False)
+    rows = native.native_costs(spark, path, "azure-cost-management-json")
     return coverage.azure_data_through(rows).drop("note")
 
 

@@ -239,6 +239,7 @@ def contains_any(value: str, patterns: str) -> str:
 def rule_choice(questions: str, name: str = "answered") -> str:
     """Relational rule selection for a table (qid, provider, rule_type, service, category, usage_date)."""
     return f"""
+{name}_keys AS (SELECT DISTINCT provider, rule_type, service, category FROM {questions}),
 {name}_scored AS (
   SELECT q.*, r.seq, r.id, r.valid_from, r.valid_to, r.reviewed_at, r.confidence AS status, r.data, r.source_url,
     len(r.matches_services) = 0 AND len(r.matches_categories) = 0 AS generic,
@@ -248,21 +249,26 @@ def rule_choice(questions: str, name: str = "answered") -> str:
         contains(lower(q.service), lower(p)) OR contains(lower(p), lower(q.service)))) > 0 THEN 1
       WHEN q.service IS NOT NULL OR q.category IS NOT NULL THEN 0
       WHEN len(r.matches_services) = 0 AND len(r.matches_categories) = 0 THEN 1 ELSE 0 END AS score
-  FROM {questions} q JOIN rules r ON r.provider = q.provider AND r.rule_type = q.rule_type),
-{name}_best AS (SELECT *, max(score) OVER (PARTITION BY qid) AS best FROM {name}_scored),
+  FROM {name}_keys q JOIN rules r ON r.provider = q.provider AND r.rule_type = q.rule_type),
+{name}_best AS (SELECT *, max(score) OVER (PARTITION BY provider, rule_type, service, category) AS best FROM {name}_scored),
+{name}_dated AS (SELECT DISTINCT provider, rule_type, service, category, usage_date FROM {questions}),
 {name}_pool AS (
-  SELECT *, valid_from <= usage_date AND (valid_to IS NULL OR usage_date <= valid_to) AS effective
-  FROM {name}_best WHERE (best > 0 AND score = best) OR (best = 0 AND generic)),
+  SELECT b.*, d.usage_date, valid_from <= d.usage_date AND (valid_to IS NULL OR d.usage_date <= valid_to) AS effective
+  FROM {name}_best b JOIN {name}_dated d ON b.provider = d.provider AND b.rule_type = d.rule_type
+    AND b.service IS NOT DISTINCT FROM d.service AND b.category IS NOT DISTINCT FROM d.category
+  WHERE (best > 0 AND score = best) OR (best = 0 AND generic)),
 {name}_pick AS (
-  SELECT *, row_number() OVER (PARTITION BY qid ORDER BY
+  SELECT *, row_number() OVER (PARTITION BY provider, rule_type, service, category, usage_date ORDER BY
     CASE WHEN usage_date IS NULL THEN 0 WHEN effective THEN 0 WHEN valid_from IS NULL THEN 1 ELSE 2 END,
     CASE WHEN usage_date IS NULL OR effective THEN coalesce(valid_from, DATE '0001-01-01') END DESC NULLS LAST,
     seq) AS n FROM {name}_pool),
 {name}_one AS (
-  SELECT qid, id, valid_from, reviewed_at, status, data, source_url, best,
-    usage_date IS NULL OR effective OR valid_from IS NULL AS found,
-    usage_date IS NOT NULL AND valid_from IS NULL AS undated
-  FROM {name}_pick WHERE n = 1),
+  SELECT q.qid, id, valid_from, reviewed_at, status, data, source_url, best,
+    p.usage_date IS NULL OR effective OR valid_from IS NULL AS found,
+    p.usage_date IS NOT NULL AND valid_from IS NULL AS undated
+  FROM {questions} q JOIN {name}_pick p ON n = 1 AND q.provider = p.provider AND q.rule_type = p.rule_type
+    AND q.service IS NOT DISTINCT FROM p.service AND q.category IS NOT DISTINCT FROM p.category
+    AND q.usage_date IS NOT DISTINCT FROM p.usage_date),
 {name} AS (
   SELECT q.*, coalesce(o.found, false) AS found, CASE WHEN o.found THEN o.id END AS rule_id,
     coalesce(o.best = 0, false) AS used_generic, coalesce(o.found AND o.undated, false) AS is_undated,

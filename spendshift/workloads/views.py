@@ -53,12 +53,6 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Share out a scan that has fewer tasks than there are cores; larger scans stay as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def provider_of(number: Column) -> Column:
     rest = number % 3
     return F.when(rest == 0, "aws").when(rest == 1, "azure").otherwise("gcp")
@@ -90,7 +84,7 @@ def cost_rows(spark: SparkSession, sf: str, *, lines: DataFrame | None = None) -
     """One cost row per ``lineitem`` row, in the fixed cost schema."""
     wanted = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
               "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
-    lines = spread((table(spark, sf, "lineitem") if lines is None else lines).select(*wanted))
+    lines = (table(spark, sf, "lineitem") if lines is None else lines).select(*wanted)
     parts = table(spark, sf, "part").select("p_partkey", "p_name", "p_type", "p_brand")
     suppliers = table(spark, sf, "supplier").select("s_suppkey", "s_name", "s_nationkey")
     nations = table(spark, sf, "nation").select("n_nationkey", "n_name")
