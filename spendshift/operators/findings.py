@@ -118,7 +118,9 @@ def finish_findings(joined: DataFrame, current: Period) -> DataFrame:
     listed = F.when(
         F.col("resource_id").isNotNull(), F.array("resource_id")
     ).otherwise(F.array().cast("array<string>"))
-    per = Window.partitionBy("provider").orderBy("kept_position")
+    # Several claims may be made on one candidate.
+    ties = ["claim_id"] if "claim_id" in joined.columns else []
+    per = Window.partitionBy("provider").orderBy("kept_position", *ties)
     count = F.row_number().over(per).cast("string")
     number = F.when(F.length(count) < 2, F.lpad(count, 2, "0")).otherwise(count)
     texts = _placeholders()

@@ -12,6 +12,7 @@ from spendshift.plans.investigate import Request, Tables, case_files, gaps_of, i
 from spendshift.session import settle
 from spendshift.sources.reference_tables import WORDING, billing_rules
 from spendshift.sources.reference_tables import playbooks as playbook_table
+from spendshift.workloads import exports
 from spendshift.workloads.comparison import DESCRIBE
 from spendshift.workloads.oracle import (
     BD, CANDIDATES, CD, COSTS, EVIDENCE, RULES, SPECS, category_case, changes, contains_any, half_even, micro,
@@ -19,8 +20,8 @@ from spendshift.workloads.oracle import (
 )
 from spendshift.workloads.registry import query
 from spendshift.workloads.views import (
-    AS_OF, BASELINE, CURRENT, audit_rows, cost_rows, inventory, metric_points, provenance, recommendations,
-    scoped_costs,
+    AS_OF, BASELINE, CURRENT, audit_rows, cost_rows, data_stamp, inventory, metric_points, provenance,
+    recommendations, scoped_costs,
 )
 
 REQUEST = Request(CURRENT, BASELINE, AS_OF)
@@ -31,11 +32,12 @@ _settled: dict[tuple, DataFrame] = {}
 def forget_settled() -> None:
     """Drop the per-session intermediate tables, so the next query computes them anew."""
     _settled.clear()
+    exports.forget_written()
 
 
 def _once(spark: SparkSession, sf: str, name: str, build) -> DataFrame:
     """An intermediate table several queries of one session share."""
-    key = (spark.sparkContext.applicationId, sf, name)
+    key = (spark.sparkContext.applicationId, sf, data_stamp(spark, sf), name)
     if key not in _settled:
         _settled[key] = settle(build())
     return _settled[key]

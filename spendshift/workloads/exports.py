@@ -8,13 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spendshift.session import scratch_path
-from spendshift.workloads.views import cost_rows
+from spendshift.workloads.views import cost_rows, data_stamp
 
 _paths: dict[tuple, str] = {}
 
 
+def forget_written() -> None:
+    """Drop the written exports, so the next query writes them anew."""
+    _paths.clear()
+
+
 def _written(spark: SparkSession, sf: str, name: str, write) -> str:
-    key = (spark.sparkContext.applicationId, sf, name)
+    key = (spark.sparkContext.applicationId, sf, data_stamp(spark, sf), name)
     if key not in _paths:
         path = scratch_path(spark, name)
         write(path)

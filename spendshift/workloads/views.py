@@ -53,6 +53,13 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def data_stamp(spark: SparkSession, sf: str) -> tuple:
+    """Names, sizes and times of the files in a folder: what a kept result depends on."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(sf)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    return tuple(sorted((s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in found))
+
+
 def provider_of(number: Column) -> Column:
     rest = number % 3
     return F.when(rest == 0, "aws").when(rest == 1, "azure").otherwise("gcp")

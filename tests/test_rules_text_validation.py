@@ -194,3 +194,23 @@ def test_history_keeps_first_facts_and_newest_state(spark):
     assert sorted((r.investigation_id, r.stage) for r in first.collect()) == [("a", "x"), ("b", "z")]
     states, kept = history.pruned(newest, first, keep=1)
     assert [r.investigation_id for r in states.collect()] == ["b"] and kept.count() == 1
+
+
+def test_every_claim_is_a_finding_of_its_own(spark):
+    from spendshift.workloads import case
+    from tests.conftest import SMALL
+
+    pool = case.evidence_rows(spark, SMALL)
+    one = pool.groupBy("provider", "candidate_id").agg(F.array_sort(F.collect_list("evidence_id")).alias("ids")).orderBy("candidate_id").first()
+    rows = [(f"claim-{n:03d}", one.provider, one.candidate_id, "", "cause", "", "low", [one.ids[n % len(one.ids)]]) for n in range(120)]
+    claims = spark.createDataFrame(
+        rows, "claim_id string, provider string, candidate_id string, category string, suspected_root_cause string, "
+        "recommendation string, risk string, evidence_ids array<string>")
+    recorded = findings.record_claims(
+        claims, case.candidates(spark, SMALL), case.chosen(spark, SMALL), pool, billing_rules(spark),
+        case.gaps(spark, SMALL), case.CURRENT, F.lit(case.AS_OF)).orderBy("finding_id").collect()
+    # Numbers of three digits stay whole, and a finding cites what its claim cites.
+    assert len({r.finding_id for r in recorded}) == 120
+    assert f"{one.provider.upper()}-F01" in {r.finding_id for r in recorded} and f"{one.provider.upper()}-F120" in {r.finding_id for r in recorded}
+    cited = {int(r.finding_id.split("-F")[1]) - 1: r.evidence_ids for r in recorded}
+    assert all(cited[n] == rows[n][-1] for n in range(120))
