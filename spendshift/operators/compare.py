@@ -354,6 +354,12 @@ def overall_comparison(providers: DataFrame, tolerance: float = 0.05) -> DataFra
     return reconcile(measured, tolerance, "total_absolute_change")
 
 
+def total_costs(costs: DataFrame) -> DataFrame:
+    """Both measures of all rows, from one scan."""
+    both = costs.agg(total(F.col("effective_cost")).alias("effective"), total(F.col("billed_cost")).alias("billed"))
+    return both.unpivot([], ["effective", "billed"], "measure", "total_cost")
+
+
 def total_cost(costs: DataFrame, use_effective: bool = True) -> DataFrame:
     column = "effective_cost" if use_effective else "billed_cost"
     return costs.agg(total(F.col(column)).alias("total_cost"))
@@ -403,15 +409,15 @@ def breakdown(
 
 def daily_totals(costs: DataFrame, period: Period) -> DataFrame:
     """Billed and effective cost of every provider on every day, zero-filled."""
-    sums = (
-        costs.filter(period.contains(F.col("usage_date")))
-        .groupBy("provider", "usage_date")
-        .agg(
+    # One scan: days outside the period fold into one row per provider, which names the provider.
+    day = F.when(period.contains(F.col("usage_date")), F.col("usage_date"))
+    sums = settle(
+        costs.groupBy("provider", day.alias("usage_date")).agg(
             total(F.col("billed_cost")).alias("billed_cost"),
             total(F.col("effective_cost")).alias("effective_cost"),
         )
     )
-    providers = costs.select("provider").distinct()
+    providers = sums.select("provider").distinct()
     calendar = providers.withColumn(
         "usage_date", F.explode(F.sequence(F.lit(period.start), F.lit(period.end)))
     )

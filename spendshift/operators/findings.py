@@ -485,5 +485,7 @@ def first_citations(citations: DataFrame) -> DataFrame:
 
 def distinct_sources(sources: DataFrame) -> DataFrame:
     """One source per (provider, source, data_through), the first by order."""
-    per = Window.partitionBy("provider", "source", "data_through").orderBy("seq")
-    return sources.withColumn("__n", F.row_number().over(per)).filter("__n = 1").drop("__n")
+    key = ["provider", "source", "data_through"]
+    others = [name for name in sources.columns if name not in (*key, "seq")]
+    first = sources.groupBy(*key).agg(F.min(F.struct("seq", *others)).alias("__first"))
+    return first.select(*key, *[F.col(f"__first.`{name}`").alias(name) for name in ("seq", *others)]).select(*sources.columns)

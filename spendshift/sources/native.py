@@ -281,9 +281,14 @@ def native_costs(spark: SparkSession, path: str, detected_format: str) -> DataFr
 
 
 def read_costs(spark: SparkSession, path: str, periods: Sequence[Period] = ()) -> DataFrame:
-    """Stored cost rows; the periods prune by the day the store is partitioned on."""
+    """Stored cost rows of the periods; a store laid out by month is read for their months only."""
     costs = spark.read.parquet(path)
-    return costs.filter(in_any(list(periods), F.col("usage_date"))) if periods else costs
+    if not periods:
+        return costs.drop("month")
+    if "month" in costs.columns:
+        months = [Period(period.start.replace(day=1), period.end) for period in periods]
+        costs = costs.filter(in_any(months, F.col("month"))).drop("month")
+    return costs.filter(in_any(list(periods), F.col("usage_date")))
 
 
 def focus_rows(costs: DataFrame, version: str = FOCUS_VERSION) -> DataFrame:

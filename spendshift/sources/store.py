@@ -28,6 +28,15 @@ def replace_slot(rows: DataFrame, path: str, dataset_id: str, kind: str, provide
     )
 
 
+def write_by_month(rows: DataFrame, path: str) -> None:
+    """Write cost rows in one folder per month, which ``read_costs`` prunes by period.
+
+    Rows are rebalanced by month and provider, so a large month is several even files.
+    """
+    months = rows.withColumn("month", F.trunc("usage_date", "month")).hint("rebalance", "month", "provider")
+    months.write.partitionBy("month").parquet(path)
+
+
 def read_slots(spark: SparkSession, path: str, dataset_id: str | None = None) -> DataFrame:
     rows = spark.read.parquet(path)
     return rows.filter(F.col("dataset_id") == dataset_id) if dataset_id else rows

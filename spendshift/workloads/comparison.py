@@ -126,10 +126,7 @@ def a5(spark, sf):
 SELECT 'effective' AS measure, CAST(sum(effective_cost) AS DOUBLE) AS total_cost FROM costs UNION ALL
 SELECT 'billed', CAST(sum(billed_cost) AS DOUBLE) FROM costs""")
 def a7(spark, sf):
-    costs = cost_rows(spark, sf)
-    effective = compare.total_cost(costs).select(F.lit("effective").alias("measure"), "total_cost")
-    billed = compare.total_cost(costs, False).select(F.lit("billed").alias("measure"), "total_cost")
-    return effective.unionByName(billed)
+    return compare.total_costs(cost_rows(spark, sf))
 
 
 def _keyed(spark, sf):

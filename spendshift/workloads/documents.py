@@ -28,12 +28,7 @@ def p17(spark, sf):
     return _untrusted(spark, sf).select("id", safe.alias("safe"), flagged.alias("flagged"))
 
 
-_HITS = [
-    r"ignore\s+(all\s+)?(previous|prior|above)", r"disregard\s+(all\s+)?(previous|prior|the)", r"you\s+are\s+now\b", r"\bact\s+as\b",
-    r"system\s*prompt", r"\b(system|assistant|developer)\s*:", r"</?\s*(script|iframe|img)\b", "```", r"\btool_call\b",
-    r"\bexecute\s+(the\s+)?following\b", r"\b(delete|terminate|shutdown)\s+(all|every)\b",
-]
-_HIT_SQL = ", ".join(f"CASE WHEN regexp_matches(text, '(?i){p}') THEN '{i}' END" for i, p in enumerate(_HITS))
+_HIT_SQL = ", ".join(f"CASE WHEN regexp_matches(text, '(?i){p}') THEN '{i}' END" for i, p in enumerate(text.INJECTION_PATTERNS))
 
 
 @query("p18_injection_shapes", f"""

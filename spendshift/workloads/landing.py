@@ -322,9 +322,9 @@ SELECT provider, billing_account_id AS source, strftime(usage_date, '%Y-%m-%d')
 def u2(spark, sf):
     from spendshift.operators.findings import distinct_sources
 
-    sources = cost_rows(spark, sf).groupBy(
-        "provider", F.col("billing_account_id").alias("source"), F.col("usage_date").alias("data_through"), "seq").count()
-    return distinct_sources(sources).select("provider", "source", "data_through", "seq")
+    sources = cost_rows(spark, sf).select(
+        "provider", F.col("billing_account_id").alias("source"), F.col("usage_date").alias("data_through"), "seq")
+    return distinct_sources(sources)
 
 
 # ------------------------------------------------------------------ store
@@ -369,13 +369,10 @@ def k1(spark, sf):
 SELECT strftime(usage_date, '%Y-%m') AS month, count(*) AS rows, CAST(sum(effective_cost) AS DOUBLE) AS effective_cost
 FROM costs WHERE ({CUR}) OR ({BASE}) GROUP BY ALL""")
 def s12(spark, sf):
-    """A store partitioned by month and day range, read for the two periods only."""
+    """A store laid out by month, read for the two periods only."""
     path = scratch_path(spark, "by-month")
-    month = F.trunc("usage_date", "month")
-    cost_rows(spark, sf).withColumn("month", month).repartition("month", "provider").write.partitionBy("month").parquet(path)
-    rows = native.read_costs(spark, path, [CURRENT, BASELINE]).filter(
-        F.col("month").between(BASELINE.start.replace(day=1), CURRENT.end)
-    )
+    store.write_by_month(cost_rows(spark, sf), path)
+    rows = native.read_costs(spark, path, [CURRENT, BASELINE])
     return rows.groupBy(F.date_format("usage_date", "yyyy-MM").alias("month")).agg(
         F.count(F.lit(1)).alias("rows"), F.sum("effective_cost").alias("effective_cost"))
 
