@@ -146,7 +146,7 @@ audit AS (
   SELECT provider, 'evt-' || event_id AS event_id, {case_map(AUDIT_NAMES, 'provider', 'event_type')} AS event_name,
     event_time, 'res-' || user_id AS r1, 'res-' || (user_id + 3) AS r2, 'user-' || user_id AS actor,
     props AS summary, event_id AS seq
-  FROM stretched WHERE event_type IN ('error', 'signup')),
+  FROM stretched),
 inv_base AS (
   SELECT p_partkey AS n, 'res-p' || p_partkey AS resource_id, p_name AS resource_name, p_type AS resource_type,
     p_size % 4 AS st, p_brand AS owner FROM part
@@ -162,9 +162,9 @@ recs AS (
   SELECT {PROVIDER.format('p_partkey')} AS provider, 'rec-' || p_partkey AS recommendation_id,
     lower(p_type) AS category,
     'res-' || CASE WHEN p_partkey % 2 = 0 THEN 'p' ELSE '' END || p_partkey AS resource_id, p_name AS description,
-    CAST(CAST(CAST(p_retailprice AS DECIMAL(18,2)) AS DOUBLE) / 100 AS DOUBLE) AS estimated_monthly_savings,
+    CAST(CAST(p_retailprice AS DECIMAL(18,2)) * 0.01 AS DOUBLE) AS estimated_monthly_savings,
     p_partkey AS seq
-  FROM part WHERE p_size > 25),
+  FROM part),
 provenance AS (
   SELECT provider, kind, provider || '-' || kind || '-export' AS source,
     CAST(last AS TIMESTAMP) + INTERVAL '86399' SECOND AS data_through,

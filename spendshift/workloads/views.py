@@ -43,9 +43,12 @@ METRICS = {
             "error": "nat/sent_bytes_count"},
 }
 AUDIT_NAMES = {
-    "aws": {"error": "DeleteVpcEndpoint", "signup": "RunInstances"},
-    "azure": {"error": "Microsoft.Web/sites/restart", "signup": "publish"},
-    "gcp": {"error": "TranslateText", "signup": "compute.instances.insert"},
+    "aws": {"error": "DeleteVpcEndpoint", "signup": "RunInstances", "view": "DescribeInstances",
+            "click": "StartInstances", "purchase": "PurchaseSavingsPlan"},
+    "azure": {"error": "Microsoft.Web/sites/restart", "signup": "publish", "view": "Microsoft.Compute/virtualMachines/read",
+              "click": "Microsoft.Compute/virtualMachines/start", "purchase": "Microsoft.Capacity/orders/purchase"},
+    "gcp": {"error": "TranslateText", "signup": "compute.instances.insert", "view": "compute.instances.get",
+            "click": "compute.instances.start", "purchase": "compute.commitments.create"},
 }
 
 
@@ -193,7 +196,6 @@ def audit_rows(spark: SparkSession, sf: str) -> DataFrame:
     user = F.col("user_id")
     return (
         _stretched(spark, sf)
-        .filter(F.col("event_type").isin("error", "signup"))
         .select(
             provider_of(user).alias("provider"),
             F.concat(F.lit("evt-"), F.col("event_id").cast("string")).alias("event_id"),
@@ -255,11 +257,10 @@ def inventory(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def recommendations(spark: SparkSession, sf: str) -> DataFrame:
-    """Savings recommendations for larger parts, aimed at the part or at its supplier number."""
+    """A savings recommendation per part, aimed at the part or at its supplier number."""
     part = F.col("p_partkey")
     return (
         table(spark, sf, "part")
-        .filter(F.col("p_size") > 25)
         .select(
             provider_of(part).alias("provider"),
             F.concat(F.lit("rec-"), part.cast("string")).alias("recommendation_id"),
