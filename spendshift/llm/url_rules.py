@@ -72,24 +72,22 @@ def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url", default: str
     ``verdict`` the default where no rule fits.
     """
     ready = compiled(rules)
-    most = ready.agg(F.max("labels").alias("most_labels"), F.max("slashes").alias("most_slashes"))
+    most = ready.agg(F.coalesce(F.max("labels"), F.lit(0)).alias("labels"), F.coalesce(F.max("slashes"), F.lit(0)).alias("slashes")).first()
     urls = pages.select(F.col(url_col).alias("url")).distinct()
     urls = urls.select("url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
 
     labels = F.split("host", r"\.")
     steps = F.split("path", "/")
-    # One row of two numbers by one row per url.
-    bounded = urls.filter("host <> ''").crossJoin(F.broadcast(most)).filter("most_labels IS NOT NULL")
     suffixes = F.transform(
-        F.sequence(F.lit(1), F.least(F.size(labels), F.col("most_labels"))),
+        F.sequence(F.lit(1), F.least(F.size(labels), F.lit(max(1, most.labels)))),
         lambda n: F.array_join(F.slice(labels, -n, n), "."),
     )
     prefixes = F.transform(
-        F.sequence(F.lit(0), F.least(F.size(steps) - 1, F.col("most_slashes"))),
+        F.sequence(F.lit(0), F.least(F.size(steps) - 1, F.lit(most.slashes))),
         lambda n: F.when(n == 0, "").otherwise(F.concat(F.array_join(F.slice(steps, 1, n), "/"), F.lit("/"))),
     )
     expressions = (
-        bounded.select("url", "path", F.explode(suffixes).alias("suffix"), prefixes.alias("prefixes"))
+        urls.filter("host <> ''").select("url", "path", F.explode(suffixes).alias("suffix"), prefixes.alias("prefixes"))
         .select("url", "path", "suffix", F.explode("prefixes").alias("prefix"))
         .withColumn("full", _digest(F.col("suffix"), F.col("prefix")))
         .select("url", "path", "full", _short(F.col("full")).alias("key"))
