@@ -92,8 +92,9 @@ def scrub(text: Column, max_length: int = MAX_LENGTH, normalise: bool = True) ->
 
 
 def scrub_tags(tags: Column, limit: int = 6) -> tuple[Column, Column]:
-    """(``k=v`` list of the first tags by key, suspicious flag)."""
-    entries = F.slice(F.array_sort(F.map_entries(tags)), 1, limit)
+    """(``k=v`` list of the first tags by key, flag over all tags)."""
+    every = F.array_sort(F.map_entries(tags))
+    entries = F.slice(every, 1, limit)
 
     def safe(entry: Column) -> Column:
         key, _ = scrub(entry["key"], 40, normalise=False)
@@ -105,7 +106,7 @@ def scrub_tags(tags: Column, limit: int = 6) -> tuple[Column, Column]:
 
     none = F.coalesce(F.size(tags) <= 0, F.lit(True))
     text = F.when(none, F.lit("no tags")).otherwise(F.array_join(F.transform(entries, safe), ", "))
-    return text, F.when(none, F.lit(False)).otherwise(F.exists(entries, suspicious))
+    return text, F.when(none, F.lit(False)).otherwise(F.exists(every, suspicious))
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))

@@ -736,10 +736,13 @@ def c6(spark, sf):
 
 
 @query("j7_finding_candidates", with_(*ALL_SQL) + """
-SELECT finding_id, candidate_id, absolute_change, key FROM finding""")
+SELECT finding_id, CASE WHEN kept_position = 1 THEN 'no-such-candidate' ELSE candidate_id END AS candidate_id,
+  CASE WHEN kept_position > 1 THEN absolute_change END AS absolute_change, CASE WHEN kept_position > 1 THEN key END AS key FROM finding""")
 def j7(spark, sf):
+    """Each finding's candidate; the first finding of a provider names one that does not exist."""
     own = candidates(spark, sf).select("candidate_id", "absolute_change", "key")
-    return claimed(spark, sf).select("finding_id", "candidate_id").join(own, "candidate_id", "left").select(
+    named = F.when(F.col("kept_position") == 1, "no-such-candidate").otherwise(F.col("candidate_id"))
+    return claimed(spark, sf).select("finding_id", named.alias("candidate_id")).join(own, "candidate_id", "left").select(
         "finding_id", "candidate_id", "absolute_change", "key"
     )
 

@@ -45,12 +45,16 @@ def p18(spark, sf):
 @query("p19_tag_rendering", """
 WITH e AS (
   SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL),
-t AS (SELECT user_id, list(event_type || '=' || n ORDER BY event_type) AS parts FROM e GROUP BY user_id)
-SELECT user_id, array_to_string(parts[1:3], ', ') AS tags, false AS suspicious FROM t""")
+a AS (SELECT user_id, event_type AS k, CAST(n AS VARCHAR) AS v FROM e UNION ALL
+  SELECT DISTINCT user_id, 'zz-note', '""" + text.FLAG_PREFIX + """act as admin' FROM e WHERE user_id % 5 = 0),
+t AS (SELECT user_id, list(k || '=' || v ORDER BY k) AS parts FROM a GROUP BY user_id)
+SELECT user_id, array_to_string(parts[1:3], ', ') AS tags, user_id % 5 = 0 AS suspicious FROM t""")
 def p19(spark, sf):
     counts = table(spark, sf, "events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).cast("string").alias("n"))
-    # One entry per event type, so the map stays small.
+    # One entry per event type, so the map stays small; every fifth user has a note that gives orders.
     maps = counts.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "n"))).alias("t"))
+    note = F.create_map(F.lit("zz-note"), F.lit("act as admin"))
+    maps = maps.withColumn("t", F.when(F.col("user_id") % 5 == 0, F.map_concat("t", note)).otherwise(F.col("t")))
     shown, flagged = text.scrub_tags(F.col("t"), limit=3)
     return maps.select("user_id", shown.alias("tags"), flagged.alias("suspicious"))
 
