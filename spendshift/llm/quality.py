@@ -155,7 +155,8 @@ def fit(
     if usable is not None:
         known = known.filter(usable)
     chosen = known.orderBy(F.xxhash64("id"), "id", "label").limit(sample)
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(chosen, "id")
+    # The sample bounds the broadcast, so the texts are never shuffled.
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -168,7 +169,7 @@ def fit(
     # The driver's order of arrival must not matter.
     if not told.num_rows:
         return grow(np.zeros((0, FEATURES), np.float32), np.zeros(0))
-    table = told.column("told").combine_chunks().values.to_numpy(zero_copy_only=False).reshape(-1, FEATURES)
+    table = told.column("told").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, FEATURES)
     label = told.column("label").to_numpy()
     order = np.lexsort((*table.T, label, told.column("id").to_numpy()))
     return grow(table[order], label[order].astype(float))
