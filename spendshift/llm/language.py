@@ -7,7 +7,9 @@ k-means; a text takes the language of the centroid with the largest cosine. A te
 largest cosine is below ``reject`` is too far from every language.
 
 Document frequencies are counted over all labelled training rows. The centroids are fitted on
-a bounded sample: the ``SAMPLE`` training rows with the smallest hash of their id per language.
+a bounded sample: at most ``SAMPLE`` training rows per language, drawn by a hash of their id.
+
+More than ``LANGUAGES`` languages are refused.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0 and is rejected;
 rows with a null language teach nothing; without any training row every text is ``und``;
@@ -28,7 +30,7 @@ from pyspark.sql import types as T
 
 from spendshift.llm.tables import text_slices
 
-DIMENSIONS, SAMPLE, CENTROIDS, ROUNDS = 1 << 12, 1_500, 4, 12
+DIMENSIONS, SAMPLE, CENTROIDS, ROUNDS, LANGUAGES = 1 << 12, 1_500, 4, 12, 1_000
 REJECT = 0.08
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
@@ -125,9 +127,21 @@ def fit(
     frequency = np.array([summed.get(n, 0) for n in range(DIMENSIONS)])
     idf = np.log((1 + rows) / (1 + frequency)).astype(np.float32) + 1
 
+    known = taught.groupBy(lang_col).count().limit(LANGUAGES + 1).collect()
+    if len(known) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
+    # About four samples of each language, by hash of the id; the smallest hashes of those are the sample.
+    shares = {row[0]: min(1.0, 4 * sample / row["count"]) for row in known}
+    place = F.pmod(F.xxhash64(id_col), F.lit(1 << 30)) / F.lit(1 << 30)
+    drawn = taught.select(id_col, lang_col)
+    if shares:
+        share = F.create_map(*[F.lit(item) for pair in shares.items() for item in pair])[F.col(lang_col)]
+        drawn = drawn.filter(place <= share)
     order = Window.partitionBy(lang_col).orderBy(F.xxhash64(id_col), id_col)
-    chosen = taught.select(id_col, lang_col).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= sample)
-    texts = taught.select(id_col, lang_col, text_col).join(chosen.select(id_col, lang_col).distinct(), [id_col, lang_col])
+    chosen = drawn.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= sample)
+    # Sample and number of languages bound the broadcast, so the texts are never shuffled.
+    ids = F.broadcast(chosen.select(id_col, lang_col).distinct())
+    texts = taught.select(id_col, lang_col, text_col).join(ids, [id_col, lang_col])
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
