@@ -13,7 +13,7 @@ is ``top + 1`` candidates per query, never the pairs.
 
 The centroids are fitted in the driver on the ``sample`` vectors with the smallest hash of
 their id; every vector is indexed. On vectors without structure, as many as ``share`` of
-all must be visited for a high recall; 0.6 gave 0.97 of the true neighbours on 64 random
+all must be visited for a high recall; 0.6 gave 0.96 of the true neighbours on 64 random
 dimensions. Where entries cluster, a smaller share will do.
 
 Defined cases: vectors that are null, zero, of another length than the sample's, or hold
