@@ -200,8 +200,10 @@ def drop_repeats(docs: DataFrame, words: int = 50, id_col: str = "doc_id", text_
         .select("doc_id", version_of(found["digest"]), F.explode("anchors").alias("anchor"))
     )
     repeated = listed.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high")
+    # Settled, so that the join deals both sides itself and may split the rows of a hot anchor.
+    repeated = settle(repeated.select("anchor"))
     wanted = (
-        listed.join(repeated.select("anchor"), "anchor").groupBy("doc_id", "version")
+        listed.join(repeated, "anchor").groupBy("doc_id", "version")
         .agg(F.collect_set("anchor").alias("anchors"))
     )
     texts = (
@@ -219,6 +221,7 @@ def drop_repeats(docs: DataFrame, words: int = 50, id_col: str = "doc_id", text_
         windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
         .filter("low < high").select("h1", "h2", "low")
     )
+    earliest = settle(earliest)
     later = (
         windows.join(earliest, ["h1", "h2"]).filter("doc_id > low")
         .groupBy("doc_id", "version").agg(F.collect_list("start").alias("starts"))
