@@ -27,6 +27,16 @@ def test_entry_has_rows(spark):
     assert frame.count() > 0 and "candidate_id" in frame.columns
 
 
+def test_the_optional_parts_may_be_absent(monkeypatch):
+    import importlib
+    import sys
+
+    with monkeypatch.context() as patch:
+        patch.setitem(sys.modules, "corpus_pipeline", None)
+        assert not [name for name in importlib.reload(contract).queries() if re.match(r"op[0-9]+_|pipeline$", name)]
+    importlib.reload(contract)
+
+
 def test_every_oracle_has_a_query():
     assert set(contract.oracle_sql()) <= set(contract.queries())
     own = {name for name in contract.queries() if not re.match(r"op[0-9]+_|pipeline$", name)}
