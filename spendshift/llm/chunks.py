@@ -74,7 +74,7 @@ class ChunkEncoder(dict):
     """
 
     def __init__(
-        self, path: str, most: int = 1_000_000, long_chunk: Callable[[bytes], bytes] | None = None, limit: int = 0
+        self, path: str, most: int = 150_000, long_chunk: Callable[[bytes], bytes] | None = None, limit: int = 0
     ) -> None:
         super().__init__()
         self.tokenizer, self.most = load(path), most
