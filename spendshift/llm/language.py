@@ -4,7 +4,10 @@ A text becomes a vector over ``DIMENSIONS`` hashed byte n-grams (one to three by
 letters lower-cased, everything but letters read as one space), weighted by inverse document
 frequency and scaled to length one. Each language has several centroids, found by spherical
 k-means; a text takes the language of the centroid with the largest cosine. A text whose
-largest cosine is below ``reject`` is too far from every language.
+largest cosine is below ``reject`` is too far from every language and is ``und``. Without that
+argument the limit is learnt: ``MARGIN`` times a low quantile of the cosines of the centroid's
+own training texts, thinned at random to the text's number of n-grams, because short texts are
+farther from every centroid. It is never below ``REJECT``.
 
 Document frequencies are counted over all labelled training rows. The centroids are fitted on
 a bounded sample: at most ``SAMPLE`` training rows per language, drawn by a hash of their id.
@@ -31,7 +34,10 @@ from pyspark.sql import types as T
 from spendshift.llm.tables import text_slices
 
 DIMENSIONS, SAMPLE, CENTROIDS, ROUNDS, LANGUAGES = 1 << 12, 1_500, 4, 12, 1_000
-REJECT = 0.08
+# The least limit, the quantile and the share of it that make the others, and the texts that a quantile needs.
+REJECT, QUANTILE, MARGIN, FEWEST = 0.08, 0.01, 0.6, 50
+# Numbers of n-grams that have a limit of their own: 16, 32, ..., 8192.
+_SIZES = 1 << np.arange(4, 14)
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -75,11 +81,17 @@ def weighted(found: np.ndarray, idf: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Languages:
-    """Names, one per centroid; centroids of length one; inverse document frequencies."""
+    """Names, one per centroid; centroids of length one; inverse document frequencies; limits by centroid and size."""
 
     names: list[str]
     centroids: np.ndarray
     idf: np.ndarray
+    limits: np.ndarray
+
+    def least(self, best: np.ndarray, grams: np.ndarray) -> np.ndarray:
+        """The learnt limits of texts with these nearest centroids and n-gram counts."""
+        size = np.searchsorted(_SIZES, grams.sum(axis=1), side="right") - 1
+        return self.limits[best, np.maximum(size, 0)]
 
 
 def _runs(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray]]:
@@ -112,6 +124,28 @@ def _clusters(vectors: np.ndarray, number: int, rounds: int) -> np.ndarray:
     return centres
 
 
+def _limits(found: np.ndarray, idf: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Limits of one language's centroids by size.
+
+    A centroid with too few texts of a size takes the limit of all texts of the language, and where
+    these are too few as well that of the size before.
+    """
+    rnd, totals = np.random.default_rng(0), found.sum(axis=1)
+    nearest = (weighted(found, idf) @ centres.T).argmax(axis=1)
+    limits = np.full((len(centres), len(_SIZES)), REJECT)
+    for n, size in enumerate(_SIZES.tolist()):
+        limits[:, n] = limits[:, max(n - 1, 0)]
+        large = np.flatnonzero(totals >= size)
+        if len(large) < FEWEST:
+            continue
+        thinned = rnd.binomial(found[large].astype(np.int64), (size / totals[large])[:, None])
+        cosines = (weighted(thinned.astype(np.float32), idf) @ centres.T).max(axis=1)
+        for k in range(len(centres)):
+            own = cosines[nearest[large] == k]
+            limits[k, n] = max(REJECT, MARGIN * float(np.quantile(own if len(own) >= FEWEST else cosines, QUANTILE)))
+    return limits
+
+
 def fit(
     docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
     sample: int = SAMPLE, centroids: int = CENTROIDS,
@@ -158,7 +192,7 @@ def fit(
     told = texts.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("hash")).mapInArrow(
         sparse, "lang string, hash long, places array<smallint>, amounts array<float>"
     ).toArrow().sort_by([("lang", "ascending"), ("hash", "ascending")])
-    names, all_centres = [], []
+    names, all_centres, all_limits = [], [], []
     langs = np.array(told.column("lang").to_pylist(), dtype=object)
     places, amounts = told.column("places"), told.column("amounts")
     for lang in sorted(set(langs.tolist())):
@@ -169,15 +203,19 @@ def fit(
         centres = _clusters(weighted(vectors, idf), centroids, ROUNDS)
         names += [lang] * len(centres)
         all_centres.append(centres)
+        all_limits.append(_limits(vectors, idf, centres))
     stacked = np.concatenate(all_centres) if names else np.zeros((0, DIMENSIONS), dtype=np.float32)
-    return Languages(names, stacked.astype(np.float32), idf)
+    limits = np.concatenate(all_limits) if names else np.zeros((0, len(_SIZES)))
+    return Languages(names, stacked.astype(np.float32), idf, limits)
 
 
 def identify(
-    docs: DataFrame, model: Languages, text_col: str = "text", names: tuple[str, str] = ("lang_pred", "lang_score")
+    docs: DataFrame, model: Languages, text_col: str = "text", names: tuple[str, str] = ("lang_pred", "lang_score"),
+    reject: float | None = None,
 ) -> DataFrame:
     """The rows of ``docs`` with the language and its score (the largest cosine, 0 to 1).
 
+    Texts with a score below ``reject``, or without it below the model's limits, are ``und`` and keep their score.
     Columns of ``docs`` that have one of the two names are replaced.
     """
     docs = docs.drop(*names)
@@ -196,9 +234,11 @@ def identify(
                     cosines = weighted(grams, model.idf) @ model.centroids.T
                     best = cosines.argmax(axis=1)
                     score = np.clip(cosines[np.arange(len(best)), best].astype(float), 0, 1)
+                    near = score >= (model.least(best, grams) if reject is None else reject)
                 else:
                     best, score = np.zeros(last - first, dtype=int), np.zeros(last - first)
-                found.append(languages[np.where(lettered, best, len(model.names))])
+                    near = np.zeros(last - first, dtype=bool)
+                found.append(languages[np.where(lettered & near, best, len(model.names))])
                 scores.append(np.where(lettered, score, 0.0))
             columns = [pa.array(np.concatenate(found) if found else [], pa.string()), pa.array(np.concatenate(scores) if scores else [], pa.float64())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, *names])
