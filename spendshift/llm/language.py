@@ -189,9 +189,13 @@ def fit(
                     ["lang", "hash", "places", "amounts"],
                 )
 
-    told = texts.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("hash")).mapInArrow(
+    counted = texts.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("hash")).mapInArrow(
         sparse, "lang string, hash long, places array<smallint>, amounts array<float>"
-    ).toArrow().sort_by([("lang", "ascending"), ("hash", "ascending")])
+    )
+    # A drawn id may stand on many rows; each task passes on a sample of each language at most.
+    again = F.row_number().over(Window.partitionBy("lang").orderBy("hash"))
+    bounded = counted.withColumn("place", again).filter(F.col("place") <= sample).drop("place")
+    told = bounded.toArrow().sort_by([("lang", "ascending"), ("hash", "ascending")])
     names, all_centres, all_limits = [], [], []
     langs = np.array(told.column("lang").to_pylist(), dtype=object)
     places, amounts = told.column("places"), told.column("amounts")

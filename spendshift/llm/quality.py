@@ -165,7 +165,9 @@ def fit(
                 lists = pa.FixedSizeListArray.from_arrays(pa.array(table.ravel()), FEATURES).cast(pa.list_(pa.float32()))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), lists], ["id", "label", "told"])
 
-    told = texts.select("id", "text", "label").mapInArrow(run, "id long, label int, told array<float>").toArrow()
+    # A drawn id may stand on many rows, so the joined rows are bounded again.
+    joined = texts.select("id", "text", "label").mapInArrow(run, "id long, label int, told array<float>")
+    told = joined.orderBy(F.xxhash64("id", "label", "told"), "id", "label").limit(sample).toArrow()
     # The driver's order of arrival must not matter.
     if not told.num_rows:
         return grow(np.zeros((0, FEATURES), np.float32), np.zeros(0))
