@@ -3,7 +3,8 @@
 Documents stay in the order of their ids. They are range-partitioned by id, and within a
 slice the ids of all documents form one stream. A sequence is a window of the stream of at
 most ``size`` tokens; where it may end: after a document (free), after a sentence
-(``sentence_penalty``), or, in a stretch without either, anywhere (``hard_penalty``). The
+(``sentence_penalty``), or, in a stretch of more than ``size // 16`` tokens without either,
+anywhere (``hard_penalty``); a ``grain`` above 1 thins the last two. The
 cuts that minimise padding plus penalties follow from one pass with a monotone queue: the
 cost of the best packing that ends at a cut is the least cost of a start within the last
 ``size`` tokens, plus the new window and the penalty.
@@ -89,16 +90,15 @@ class Packer:
 
     def _places(self, stream: np.ndarray, doc_ends: np.ndarray) -> tuple[list[int], list[float]]:
         found = np.flatnonzero(self.ends[stream]) + 1
-        if len(found):
-            # The last sentence end of each cell of ``grain`` tokens will do.
+        if self.grain > 1 and len(found):
+            # A coarser grain offers the last sentence end of each cell of ``grain`` tokens only.
             cells = found // self.grain
             found = found[np.append(cells[1:] != cells[:-1], True)]
         places = np.union1d(found, doc_ends)
         gaps = np.diff(places, prepend=0)
         wide = np.flatnonzero(gaps > self.size // 16)
         if len(wide):
-            step = max(1, self.size // 64)
-            extra = [np.arange(places[k] - gaps[k] + step, places[k], step) for k in wide]
+            extra = [np.arange(places[k] - gaps[k] + self.grain, places[k], self.grain) for k in wide]
             hard = np.concatenate(extra)
             places = np.union1d(places, hard)
         penalties = np.full(len(places), self.sentence)
@@ -131,7 +131,7 @@ class Packer:
 
 def pack(
     docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text",
-    sentence_penalty: float = 4.0, hard_penalty: float = 64.0, grain: int = 16, stretch: int = 1 << 18,
+    sentence_penalty: float = 4.0, hard_penalty: float = 64.0, grain: int = 1, stretch: int = 1 << 18,
 ) -> DataFrame:
     """(doc_id, start, length, ids, doc_tokens, sequence_id, offset), one row per piece.
 
