@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendshift.llm import bpe, language, neighbours, packing, quality, simhash, sketches, substrings, url_rules, warc
+from spendshift.llm import bpe, language, neighbours, packing, periodic, quality, simhash, sketches, substrings, url_rules, warc
 from spendshift.llm.tables import held_out, read
 from spendshift.session import scratch_path
 
@@ -95,11 +95,41 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _looped(text: Column, doc_id: Column) -> Column:
+    """Every tenth text (by crc32 of the id) goes round in its own words from some word on."""
+    h = F.crc32(doc_id.cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def tail(words: Column) -> Column:
+        n = F.size(words)
+        a = F.pmod(g, n)
+        p = 1 + F.floor((n - a) / (3 + F.pmod(g, F.lit(8))))
+        places = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.when(i < a, i).otherwise(a + F.pmod(i - a, p)).cast("int"))
+        return F.array_join(F.transform(places, lambda i: F.get(words, i)), " ")
+
+    # The words are split once: the array is bound by a one-element transform.
+    words = sketches.words(text)
+    planted = F.element_at(F.transform(F.array(words), lambda array: F.when(F.size(array) > 0, tail(array))), 1)
+    return F.when(h % 10 == 0, planted).otherwise(text)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    found = periodic.collapse_runs(docs.select("doc_id", _looped(F.col("text"), F.col("doc_id")).alias("text")))
+    lines = F.transform("runs", lambda run: F.concat_ws(",", run["start"], run["length"], run["period"]))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.floor(F.col("best.length") * 1000 / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform(lines, lambda line: F.concat(line, F.lit("\n"))), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     build.__name__: build
     for build in (
         op1_url_filter, op2_quality_classifier, op3_substring_dedup, op4_nearest_neighbours, op5_document_fingerprints,
-        op6_packing, op7_bpe, op8_warc, op9_language_id, op10_simhash,
+        op6_packing, op7_bpe, op8_warc, op9_language_id, op10_simhash, op12_periodic_runs,
     )
 }
 
@@ -132,4 +162,26 @@ SELECT page_id, strlen(body)::BIGINT AS payload_bytes,
   CASE WHEN page_id = latest THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id <> latest THEN latest END AS refers_to
 FROM d""",
+    # crc32 bit by bit; runs are islands of equal words q apart that no run of a smaller period contains.
+    "op12_periodic_runs": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws, doc_id::VARCHAR AS s FROM documents),
+c AS (SELECT doc_id, ws, len(ws) AS n, xor(4294967295::UBIGINT, list_reduce(
+  list_prepend(4294967295::UBIGINT, list_transform(range(1, len(s) + 1), lambda i: ascii(substr(s, i, 1))::UBIGINT)),
+  lambda a, b: list_reduce(list_prepend(xor(a, b), [0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[]),
+    lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384::UBIGINT) ELSE x // 2 END)))::BIGINT AS h FROM d),
+g AS (SELECT doc_id, ws, n, h % 10 = 0 AND n > 0 AS looped, CASE WHEN n > 0 THEN h // 10 % n END AS a,
+  CASE WHEN n > 0 THEN 1 + (n - h // 10 % n) // (3 + h // 10 % 8) END AS p FROM c),
+t AS (SELECT doc_id, n, CASE WHEN looped THEN list_transform(range(n), lambda i: ws[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) ELSE ws END AS ws FROM g),
+e AS (SELECT doc_id, n, unnest(ws) AS word, unnest(range(n)) AS i FROM t),
+m AS (SELECT l.doc_id, l.i, r.i - l.i AS q FROM e l JOIN e r ON l.doc_id = r.doc_id AND l.word = r.word AND r.i > l.i WHERE 3 * (r.i - l.i) <= l.n),
+o AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM m),
+x AS (SELECT doc_id, min(i) AS s, count(*) + q AS len, q FROM o GROUP BY doc_id, q, island HAVING count(*) + q >= greatest(24, 3 * q)),
+r AS (SELECT * FROM x WHERE NOT EXISTS (SELECT 1 FROM x y WHERE y.doc_id = x.doc_id AND y.q < x.q AND y.s <= x.s AND y.s + y.len >= x.s + x.len)),
+k AS (SELECT doc_id, count(*) AS n_runs, arg_max({'s': s, 'len': len, 'q': q}, [len / q, -s, -q]) AS best,
+  string_agg(s || ',' || len || ',' || q || chr(10), '' ORDER BY s, q) AS told FROM r GROUP BY doc_id),
+v AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + len)) AS i FROM r),
+u AS (SELECT e.doc_id, string_agg(word, ' ' ORDER BY e.i) AS kept FROM e ANTI JOIN v ON e.doc_id = v.doc_id AND e.i = v.i GROUP BY e.doc_id)
+SELECT t.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, best.s::BIGINT AS start, best.len::BIGINT AS length, best.q::BIGINT AS period,
+  (1000 * best.len // best.q)::BIGINT AS exponent_milli, sha256(coalesce(told, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM t LEFT JOIN k USING (doc_id) LEFT JOIN u USING (doc_id)""",
 }
