@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendshift.llm import bpe, language, neighbours, packing, periodic, quality, simhash, sketches, substrings, url_rules, warc
+from spendshift.llm import bpe, language, lattice, neighbours, packing, periodic, quality, simhash, sketches, substrings, url_rules, warc
 from spendshift.llm.tables import held_out, read
 from spendshift.session import scratch_path
 
@@ -125,11 +125,15 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_duplicates(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     build.__name__: build
     for build in (
         op1_url_filter, op2_quality_classifier, op3_substring_dedup, op4_nearest_neighbours, op5_document_fingerprints,
-        op6_packing, op7_bpe, op8_warc, op9_language_id, op10_simhash, op12_periodic_runs,
+        op6_packing, op7_bpe, op8_warc, op9_language_id, op10_simhash, op12_periodic_runs, op13_embedding_near_dedup,
     )
 }
 
