@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendshift.llm import bpe, language, lattice, neighbours, packing, periodic, quality, simhash, sketches, substrings, url_rules, warc
+from spendshift.llm import alignment, bpe, language, lattice, neighbours, packing, periodic, quality, simhash, sketches, substrings, url_rules, warc
 from spendshift.llm.tables import held_out, read
 from spendshift.session import scratch_path
 
@@ -95,6 +95,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return alignment.align(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def _looped(text: Column, doc_id: Column) -> Column:
     """Every tenth text (by crc32 of the id) goes round in its own words from some word on."""
     h = F.crc32(doc_id.cast("string").cast("binary"))
@@ -133,7 +138,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     build.__name__: build
     for build in (
         op1_url_filter, op2_quality_classifier, op3_substring_dedup, op4_nearest_neighbours, op5_document_fingerprints,
-        op6_packing, op7_bpe, op8_warc, op9_language_id, op10_simhash, op12_periodic_runs, op13_embedding_near_dedup,
+        op6_packing, op7_bpe, op8_warc, op9_language_id, op10_simhash, op11_token_alignment, op12_periodic_runs, op13_embedding_near_dedup,
     )
 }
 
