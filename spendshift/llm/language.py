@@ -4,17 +4,16 @@ A text becomes a vector over ``DIMENSIONS`` hashed byte n-grams (one to three by
 letters lower-cased, everything but letters read as one space), weighted by inverse document
 frequency and scaled to length one. Each language has several centroids, found by spherical
 k-means; a text takes the language of the centroid with the largest cosine. A text whose
-largest cosine is below ``reject`` is too far from every language and is ``und``. Without that
-argument the limit is learnt: ``MARGIN`` times a low quantile of the cosines of the centroid's
+largest cosine is below ``reject`` is too far from every language and is marked as rejected; it keeps the
+nearest language. Without that argument the limit is learnt: ``MARGIN`` times a low quantile of the cosines of the centroid's
 own training texts, thinned at random to the text's number of n-grams, because short texts are
 farther from every centroid. It is never below ``REJECT``.
 
 Document frequencies are counted over all labelled training rows. The centroids are fitted on
-a bounded sample: at most ``SAMPLE`` training rows per language, drawn by a hash of their id.
+a bounded sample: at most ``SAMPLE`` training rows per language, drawn by a hash of their id. Each language
+is fitted in a task of its own; the driver holds centroids and limits only (64 KB a language).
 
-More than ``LANGUAGES`` languages are refused.
-
-Defined cases: a text that is null or has no letter is ``und`` with score 0 and is rejected;
+Defined cases: a text that is null or has no letter is ``und`` with score 0 and is rejected, no other text is ``und``;
 rows with a null language teach nothing; without any training row every text is ``und``;
 very long texts are counted in full; a repeated row counts as often as it stands.
 """
@@ -31,9 +30,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spendshift.llm.tables import text_slices
+from spendshift.llm.tables import settle, text_slices
 
-DIMENSIONS, SAMPLE, CENTROIDS, ROUNDS, LANGUAGES = 1 << 12, 1_500, 4, 12, 1_000
+DIMENSIONS, SAMPLE, CENTROIDS, ROUNDS = 1 << 12, 1_500, 4, 12
 # The least limit, the quantile and the share of it that make the others, and the texts that a quantile needs.
 REJECT, QUANTILE, MARGIN, FEWEST = 0.08, 0.01, 0.6, 50
 # Numbers of n-grams that have a limit of their own: 16, 32, ..., 8192.
@@ -51,11 +50,11 @@ _FOLD[128:] = np.arange(128, 256)
 def counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Hashed n-gram counts of the texts of a run, one row per text."""
     rows = len(offsets) - 1
-    # A space before each text keeps n-grams of neighbours apart.
-    padded = np.full(len(data) + rows + 2, 32, dtype=np.uint8)
+    # Two spaces before each text keep n-grams of neighbours apart.
+    padded = np.full(len(data) + 2 * rows + 2, 32, dtype=np.uint8)
     row = np.repeat(np.arange(rows), np.diff(offsets))
-    padded[np.arange(len(data)) + row + 1] = _FOLD[data]
-    owner = np.repeat(np.arange(rows), np.diff(offsets) + 1)
+    padded[np.arange(len(data)) + 2 * row + 2] = _FOLD[data]
+    owner = np.repeat(np.arange(rows), np.diff(offsets) + 2)
     letters = padded.astype(np.uint32)
     grams, size = letters[: len(owner)], len(owner)
     found = np.zeros(rows * DIMENSIONS, dtype=np.float32)
@@ -131,17 +130,29 @@ def _limits(found: np.ndarray, idf: np.ndarray, centres: np.ndarray) -> np.ndarr
     these are too few as well that of the size before.
     """
     rnd, totals = np.random.default_rng(0), found.sum(axis=1)
-    nearest = (weighted(found, idf) @ centres.T).argmax(axis=1)
+
+    def nearest(rows: np.ndarray, size: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """Centroid and cosine of texts, thinned to ``size`` n-grams if that is given; 128 texts at a time."""
+        best, cosine = np.zeros(len(rows), dtype=np.int64), np.zeros(len(rows))
+        for at in range(0, len(rows), 128):
+            some = rows[at : at + 128]
+            counts = found[some]
+            if size:
+                counts = rnd.binomial(counts.astype(np.int32), (size / totals[some])[:, None]).astype(np.float32)
+            cosines = weighted(counts, idf) @ centres.T
+            best[at : at + 128], cosine[at : at + 128] = cosines.argmax(axis=1), cosines.max(axis=1)
+        return best, cosine
+
+    owner, _ = nearest(np.arange(len(found)))
     limits = np.full((len(centres), len(_SIZES)), REJECT)
     for n, size in enumerate(_SIZES.tolist()):
         limits[:, n] = limits[:, max(n - 1, 0)]
         large = np.flatnonzero(totals >= size)
         if len(large) < FEWEST:
             continue
-        thinned = rnd.binomial(found[large].astype(np.int64), (size / totals[large])[:, None])
-        cosines = (weighted(thinned.astype(np.float32), idf) @ centres.T).max(axis=1)
+        _, cosines = nearest(large, size)
         for k in range(len(centres)):
-            own = cosines[nearest[large] == k]
+            own = cosines[owner[large] == k]
             limits[k, n] = max(REJECT, MARGIN * float(np.quantile(own if len(own) >= FEWEST else cosines, QUANTILE)))
     return limits
 
@@ -152,7 +163,7 @@ def fit(
 ) -> Languages:
     """Learn from the rows of ``docs`` where ``usable`` holds and the language is not null.
 
-    The driver holds ``sample`` texts per language (as sparse counts) and ``DIMENSIONS`` sums.
+    A task holds ``sample`` texts of one language, the driver the centroids and ``DIMENSIONS`` sums.
     """
     taught = docs.filter(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     sums = taught.select(F.col(text_col).alias("text")).mapInArrow(_frequencies, "dimension int, rows long")
@@ -161,20 +172,14 @@ def fit(
     frequency = np.array([summed.get(n, 0) for n in range(DIMENSIONS)])
     idf = np.log((1 + rows) / (1 + frequency)).astype(np.float32) + 1
 
-    known = taught.groupBy(lang_col).count().limit(LANGUAGES + 1).collect()
-    if len(known) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
     # About four samples of each language, by hash of the id; the smallest hashes of those are the sample.
-    shares = {row[0]: min(1.0, 4 * sample / row["count"]) for row in known}
     place = F.pmod(F.xxhash64(id_col), F.lit(1 << 30)) / F.lit(1 << 30)
-    drawn = taught.select(id_col, lang_col)
-    if shares:
-        share = F.create_map(*[F.lit(item) for pair in shares.items() for item in pair])[F.col(lang_col)]
-        drawn = drawn.filter(place <= share)
+    known = taught.groupBy(F.col(lang_col).alias("__known")).agg((4 * sample / F.count(F.lit(1))).alias("__share"))
+    drawn = taught.select(id_col, lang_col).join(known, F.col(lang_col) == F.col("__known")).filter(place <= F.col("__share")).select(id_col, lang_col)
     order = Window.partitionBy(lang_col).orderBy(F.xxhash64(id_col), id_col)
     chosen = drawn.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= sample)
-    # Sample and number of languages bound the broadcast, so the texts are never shuffled.
-    ids = F.broadcast(chosen.select(id_col, lang_col).distinct())
+    # Spark broadcasts the chosen ids while they are few; with very many languages it deals both sides.
+    ids = settle(chosen.select(id_col, lang_col).distinct())
     texts = taught.select(id_col, lang_col, text_col).join(ids, [id_col, lang_col])
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,32 +200,36 @@ def fit(
     # A drawn id may stand on many rows; each task passes on a sample of each language at most.
     again = F.row_number().over(Window.partitionBy("lang").orderBy("hash"))
     bounded = counted.withColumn("place", again).filter(F.col("place") <= sample).drop("place")
-    told = bounded.toArrow().sort_by([("lang", "ascending"), ("hash", "ascending")])
-    names, all_centres, all_limits = [], [], []
-    langs = np.array(told.column("lang").to_pylist(), dtype=object)
-    places, amounts = told.column("places"), told.column("amounts")
-    for lang in sorted(set(langs.tolist())):
-        at = np.flatnonzero(langs == lang)
-        vectors = np.zeros((len(at), DIMENSIONS), dtype=np.float32)
-        for n, row in enumerate(at.tolist()):
-            vectors[n, np.array(places[row].as_py(), dtype=int)] = amounts[row].as_py()
+
+    def learn(key: tuple, told: pa.Table) -> pa.Table:
+        """Centroids and limits of one language, from its sample."""
+        told = told.sort_by("hash")
+        places, amounts = told.column("places"), told.column("amounts")
+        vectors = np.zeros((told.num_rows, DIMENSIONS), dtype=np.float32)
+        for n in range(told.num_rows):
+            vectors[n, places[n].values.to_numpy()] = amounts[n].values.to_numpy()
         centres = _clusters(weighted(vectors, idf), centroids, ROUNDS)
-        names += [lang] * len(centres)
-        all_centres.append(centres)
-        all_limits.append(_limits(vectors, idf, centres))
-    stacked = np.concatenate(all_centres) if names else np.zeros((0, DIMENSIONS), dtype=np.float32)
-    limits = np.concatenate(all_limits) if names else np.zeros((0, len(_SIZES)))
-    return Languages(names, stacked.astype(np.float32), idf, limits)
+        return pa.table(
+            [pa.array([key[0].as_py()] * len(centres)), pa.array(range(len(centres)), pa.int32()),
+             pa.array(list(centres.astype(np.float32)), pa.list_(pa.float32())), pa.array(list(_limits(vectors, idf, centres)), pa.list_(pa.float64()))],
+            names=["lang", "number", "centre", "limits"],
+        )
+
+    learnt = bounded.groupBy("lang").applyInArrow(learn, "lang string, number int, centre array<float>, limits array<double>")
+    told = learnt.toArrow().sort_by([("lang", "ascending"), ("number", "ascending")])
+    centres = told.column("centre").combine_chunks().flatten().to_numpy().reshape(-1, DIMENSIONS)
+    limits = told.column("limits").combine_chunks().flatten().to_numpy().reshape(-1, len(_SIZES))
+    return Languages(told.column("lang").to_pylist(), centres, idf, limits)
 
 
 def identify(
-    docs: DataFrame, model: Languages, text_col: str = "text", names: tuple[str, str] = ("lang_pred", "lang_score"),
-    reject: float | None = None,
+    docs: DataFrame, model: Languages, text_col: str = "text",
+    names: tuple[str, str, str] = ("lang_pred", "lang_score", "lang_rejected"), reject: float | None = None,
 ) -> DataFrame:
-    """The rows of ``docs`` with the language and its score (the largest cosine, 0 to 1).
+    """The rows of ``docs`` with the language, its score (the largest cosine, 0 to 1), and whether it is rejected.
 
-    Texts with a score below ``reject``, or without it below the model's limits, are ``und`` and keep their score.
-    Columns of ``docs`` that have one of the two names are replaced.
+    Rejected are texts with a score below ``reject``, or without it below the model's limits, and those that are
+    ``und``. Columns of ``docs`` that have one of the three names are replaced.
     """
     docs = docs.drop(*names)
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -230,7 +239,7 @@ def identify(
         model = shared.value
         languages = np.array([*model.names, UNKNOWN], dtype=object)
         for batch in batches:
-            found, scores = [], []
+            found, scores, rejected = [], [], []
             texts = batch.column(at)
             for first, last, grams in _runs(texts):
                 lettered = np.array([bool(_LETTER.search(texts[row].as_py() or "")) for row in range(first, last)])
@@ -242,10 +251,15 @@ def identify(
                 else:
                     best, score = np.zeros(last - first, dtype=int), np.zeros(last - first)
                     near = np.zeros(last - first, dtype=bool)
-                found.append(languages[np.where(lettered & near, best, len(model.names))])
+                found.append(languages[np.where(lettered, best, len(model.names))])
                 scores.append(np.where(lettered, score, 0.0))
-            columns = [pa.array(np.concatenate(found) if found else [], pa.string()), pa.array(np.concatenate(scores) if scores else [], pa.float64())]
+                rejected.append(~(lettered & near))
+            columns = [
+                pa.array(np.concatenate(told) if told else [], kind)
+                for told, kind in ((found, pa.string()), (scores, pa.float64()), (rejected, pa.bool_()))
+            ]
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, *names])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
+    kinds = (T.StringType(), T.DoubleType(), T.BooleanType())
+    schema = T.StructType([*docs.schema.fields, *[T.StructField(name, kind) for name, kind in zip(names, kinds, strict=True)]])
     return docs.mapInArrow(run, schema)

@@ -87,7 +87,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = language.fit(docs, ~held_out(F.col("doc_id"), 5, 0))
     found = language.identify(docs.select("doc_id", "text"), model)
-    return found.select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+    return found.select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_rejected").alias("rejected"))
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,21 +14,17 @@ def test_a_hot_id_stays_within_the_samples(spark, monkeypatch):
     labels = spark.createDataFrame([(n, n % 2) for n in range(40)], "doc_id long, quality int")
     sizes = []
 
-    def clusters(vectors, number, rounds, plain=language._clusters):
-        sizes.append(len(vectors))
-        return plain(vectors, number, rounds)
-
     def grow(table, label, plain=quality.grow):
         sizes.append(len(table))
         return plain(table, label)
 
-    monkeypatch.setattr(language, "_clusters", clusters)
     monkeypatch.setattr(quality, "grow", grow)
     # With a sample of all ids but not of all rows, the hot id is drawn for certain.
-    language.fit(docs, F.lit(True), sample=60)
     quality.fit(docs, labels, sample=50)
-    assert sizes == [60, 50]
+    assert sizes == [50]
+    # The languages are fitted in tasks: a sample of one row has one centroid, whatever its id stands on.
+    assert len(language.fit(docs, F.lit(True), sample=1, centroids=4).names) == 1
+    assert len(language.fit(docs, F.lit(True), sample=60, centroids=4).names) == 4
     sizes.clear()
-    language.fit(docs.filter("doc_id <> 7"), F.lit(True), sample=60)
     quality.fit(docs.filter("doc_id <> 7"), labels, sample=50)
-    assert sizes == [39, 39]
+    assert sizes == [39]
