@@ -17,7 +17,8 @@ import corpus_pipeline
 from spendshift.llm import bpe, language
 from spendshift.llm.tables import held_out
 from tests.conftest import SMALL
-from tests.llm.test_operators import WORDS, brute_groups, brute_repeats, brute_simhash
+from tests.llm.test_operators import WORDS, brute_repeats
+from tests.llm.test_resemblance import brute_kept
 
 COLUMNS = {
     "op1_url_filter": "page_id host path rule verdict",
@@ -86,7 +87,7 @@ def test_accuracy_on_held_out_rows(spark):
 
 def test_stages(spark, source):
     names = [name for name, _ in corpus_pipeline.STAGES]
-    assert names == ["language_id", "quality_classifier", "simhash_near_dedup", "substring_dedup", "packing"]
+    assert names == ["language_id", "quality_classifier", "near_dedup", "substring_dedup", "packing"]
     kept = {"input": source}
     for (name, stage), before in zip(corpus_pipeline.STAGES[:-1], ["input", *names]):
         path = corpus_pipeline.scratch_path(spark, name)
@@ -99,21 +100,16 @@ def test_stages(spark, source):
 
     # Languages: what the operator finds near a centroid.
     model = language.fit(source, F.lit(True))
-    near = {r.doc_id for r in language.identify(source, model).collect() if r.lang_pred != "und" and r.lang_score >= language.REJECT}
+    near = {r.doc_id for r in language.identify(source, model).collect() if not r.lang_rejected}
     assert set(texts["language_id"]) == near
     # Quality: the labelled documents of high quality stay, nearly all others go.
     marks = {r.doc_id: r.quality for r in spark.read.parquet(f"{SMALL}/labels.parquet").collect()}
     judged = [(marks[i], i in texts["quality_classifier"]) for i in texts["language_id"] if i in marks]
     assert np.mean([stays == bool(mark) for mark, stays in judged]) > 0.95
-    # Near duplicates: the smallest id of every group, by brute force.
-    before = sorted(texts["quality_classifier"].items())
-    groups = brute_groups([brute_simhash(t) for _, t in before])
-    first = {}
-    for (i, _), group in zip(before, groups):
-        first.setdefault(group, i)
-    assert set(texts["simhash_near_dedup"]) == set(first.values())
+    # Near duplicates: the smallest id of every group of a 5-word resemblance of 0.8 or more, by brute force.
+    assert sorted(texts["near_dedup"], key=repr) == brute_kept(sorted(texts["quality_classifier"].items()))
     # Passages: the kept words, by brute force.
-    want = {i: (n - gone, sha) for i, n, gone, sha in brute_repeats(list(texts["simhash_near_dedup"].items()), 50)}
+    want = {i: (n - gone, sha) for i, n, gone, sha in brute_repeats(list(texts["near_dedup"].items()), 50)}
     for i, t in texts["substring_dedup"].items():
         words = WORDS.findall(t or "")
         assert (len(words), hashlib.sha256(" ".join(words).encode()).hexdigest()) == want[i]
