@@ -67,8 +67,8 @@ def daily_rollup(costs: DataFrame) -> DataFrame:
     return rolled.select(*COST.names, "mixed_units")
 
 
-def with_record_ids(rolled: DataFrame) -> DataFrame:
-    """Number the rolled-up rows in (day, service, resource) order."""
+def with_record_ids(rolled: DataFrame, renumber: bool = False) -> DataFrame:
+    """Number the rolled-up rows in (day, service, resource) order; with ``renumber`` that number is their ``seq`` from here on."""
     keyed = rolled.withColumn("resource_key", resource_key(F.col("resource_id"), F.col("service_name")))
     tie_breaks = ["seq", "provider", "billing_account_id", "sku_id", "region_id", "charge_category", "currency"]
     order = [F.col(c) for c in ("usage_date", "service_name", "resource_key", *tie_breaks)]
@@ -76,6 +76,7 @@ def with_record_ids(rolled: DataFrame) -> DataFrame:
     numbered = with_position(keyed, [], order)
     number = F.col("position").cast("string")
     padded = F.when(F.length(number) < 6, F.lpad(number, 6, "0")).otherwise(number)
-    return numbered.withColumn(
+    told = numbered.withColumn(
         "source_record_id", F.concat(F.lit("upload-"), F.col("usage_date").cast("string"), F.lit("-"), padded)
-    ).drop("resource_key", "position")
+    )
+    return (told.withColumn("seq", F.col("position").cast("bigint")) if renumber else told).drop("resource_key", "position")

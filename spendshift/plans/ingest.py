@@ -87,7 +87,7 @@ def ingest_costs(spark: SparkSession, path: str, provider: str, detected_format:
     currency = coverage.currencies(rolled).first()
     if currency.is_mixed:
         raise RefusedUpload(f"mixed currencies: {', '.join(currency.currencies)}")
-    costs = with_record_ids(rolled)
+    costs = with_record_ids(rolled, renumber=True)
     number = landing.row_number_of(rejected) if "position" in rejected.columns else F.col("row_number")
     rejections = rejected.select("source_file", number.alias("row_number"), "provider", "code")
     return Ingested(costs, rejections, ingest_report(rows, rejected, rolled), through, detected_format)

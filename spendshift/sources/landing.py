@@ -17,6 +17,27 @@ GCP_MARKERS = ["usage_start_time", "service.description"]
 AZURE_MARKER = "UsageDate"
 
 
+# Bytes of a small table (files, splits) up to which it is sent to every executor; beyond it both sides are dealt.
+SMALL_TABLE = 64 << 20
+
+
+def row_order(*parts: Column | str) -> Column:
+    """The order of a landed row: file, then its place in the file, compared as a struct.
+
+    It is the same whatever the split sizes and whatever the order in which Spark deals files to tasks.
+    """
+    place = [part if isinstance(part, Column) else F.col(part) for part in parts]
+    place += [F.lit(0)] * (2 - len(place))
+    return F.struct(F.col("source_file").alias("file"), *[c.cast("bigint").alias(name) for c, name in zip(place, ("block", "row"), strict=True)])
+
+
+def small(table: DataFrame) -> DataFrame:
+    """A settled table of files or splits, marked for broadcast if its measured size allows that."""
+    told = table.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.length("source_file")).alias("text")).first()
+    size = (told["text"] or 0) + told["rows"] * 64 * max(1, len(table.columns))
+    return F.broadcast(table) if size <= SMALL_TABLE else table
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """Text lines of a folder with their file and place."""
     return spark.read.text(path).select(
@@ -169,7 +190,7 @@ def read_items(spark: SparkSession, path: str) -> DataFrame:
         .otherwise(F.coalesce(held, F.array("value")))
     )
     return values.select("source_file", "line", F.posexplode(items).alias("position", "item")).withColumn(
-        "seq", F.monotonically_increasing_id()
+        "seq", row_order("line", "position")
     )
 
 

@@ -7,9 +7,8 @@ provider turns the text into the fixed cost schema. Columns that are absent read
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,7 +24,8 @@ from spendshift.functions.money import net_of_credits
 from spendshift.operators.coverage import FOCUS_VERSION, require_focus_version
 from spendshift.periods import Period, in_any
 from spendshift.schemas import COST
-from spendshift.sources.landing import file_shapes, json_values, with_row_number
+from spendshift.session import settle
+from spendshift.sources.landing import json_values, row_order, small
 
 AWS_COLUMNS = [
     "identity_line_item_id", "bill_payer_account_id", "line_item_usage_account_id",
@@ -53,38 +53,94 @@ def _col(df: DataFrame, name: str) -> Column:
 # ------------------------------------------------------------------ readers
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """CSV rows as text, by the column names of each file's own header.
+def _places(names: Column, columns: Sequence[str]) -> Column:
+    """Where each wanted column stands among the names (from 0, -1: nowhere); of equal names the last counts."""
+    turned = F.reverse(names)
+    found = [F.array_position(turned, name) for name in columns]
+    return F.array(*[F.when(at > 0, F.size(names) - at).otherwise(-1).cast("int") for at in found])
 
-    Files with the same header are one read. A file with a line of unpaired quotes has line
-    breaks inside fields and is read whole; all others stay splittable.
-    """
-    reads: dict[tuple[str, bool], list[str]] = {}
-    for row in file_shapes(spark, path).collect():
-        reads.setdefault((row.first_line, row.has_open_quotes), []).append(row.source_file)
-    if not reads:
-        return _with_order(spark.read.option("header", True).csv(path))
-    parts = []
-    for (_, multi_line), files in sorted(reads.items(), key=lambda item: item[1]):
-        rows = spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line).csv(files)
-        parts.append(_with_place(rows))
-    united = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    return united.withColumn("seq", F.monotonically_increasing_id())
 
+def _split_table(lines: DataFrame) -> DataFrame:
+    """Per split of a file: its filled lines, the number of its first one, that line, and lines with an open quote."""
+    odd = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return settle(
+        lines.groupBy("source_file", "split").agg(
+            F.count(F.lit(1)).alias("lines"), F.min("row").alias("first_row"), F.min(F.struct("row", "value"))["value"].alias("first_line"),
+            F.max((odd % 2).cast("int")).alias("odd"),
+        )
+    )
 
-def read_parquet(spark: SparkSession, path: str) -> DataFrame:
-    return _with_order(spark.read.parquet(path))
 
+def _joined_lines(lines: DataFrame) -> DataFrame:
+    """Records of files with line breaks inside quotes: lines are joined until their quotes are even.
 
-def _with_place(rows: DataFrame) -> DataFrame:
-    names = [F.col(f"`{name}`") for name in rows.columns]
-    return rows.select(
-        *names, F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("split_start")
+    A file is worked through in one task here; the parity of a line follows from all lines before it.
+    """
+    in_file = Window.partitionBy("source_file").orderBy("split", "row")
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    before = F.coalesce(F.sum(quotes).over(in_file.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    told = lines.withColumn("starts", (before % 2 == 0).cast("int"))
+    told = told.withColumn("record", F.sum("starts").over(in_file))
+    pieces = F.sort_array(F.collect_list(F.struct("split", "row", "value")))
+    records = told.groupBy("source_file", "record").agg(pieces.alias("pieces")).select(
+        "source_file", F.col("pieces")[0]["split"].alias("split"), F.col("pieces")[0]["row"].alias("row"),
+        F.array_join(F.transform("pieces", lambda piece: piece["value"]), "\n").alias("value"),
     )
+    return records.filter(F.trim("value") != "").withColumn("row_number", F.row_number().over(in_file).cast("bigint") - 1)
+
 
+def read_csv(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
+    """The named columns of CSV rows as text, by each file's own header, with file, order and row number.
 
-def _with_order(rows: DataFrame) -> DataFrame:
-    return _with_place(rows).withColumn("seq", F.monotonically_increasing_id())
+    One plan for any number of files and headers: the lines are scanned once, joined with a table of
+    splits (where each wanted column stands in the file's header, how many lines come before), and
+    parsed by position. No list of files or headers goes through the driver. Files with line
+    breaks inside quotes take a second branch that joins their lines.
+    """
+    texts = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("split")
+    )
+    numbered = lambda lines: lines.withColumn("row", F.monotonically_increasing_id())
+    lines = numbered(texts.filter(F.trim("value") != ""))
+    splits = _split_table(lines)
+    header = F.regexp_replace(F.min(F.struct("split", "first_line"))["first_line"], "^\ufeff", "")
+    files = splits.groupBy("source_file").agg(header.alias("header"), (F.max("odd") > 0).alias("open"))
+    files = settle(files)
+    told = files.agg(F.max(F.size(F.split("header", ","))).alias("width"), F.coalesce(F.max("open"), F.lit(False)).alias("open")).first()
+    generic = ", ".join(f"c{n} string" for n in range(told["width"] or 1))
+
+    def fields(text: str) -> Column:
+        parsed = F.from_csv(text, generic, {"escape": '"'})
+        return F.transform(F.array(parsed), lambda row: F.array(*[row[f"c{n}"] for n in range(told["width"] or 1)]))[0]
+
+    # Headers are few beside the files: each is parsed once.
+    headers = files.select("header").distinct().select("header", _places(fields("header"), columns).alias("places"))
+    placed = files.join(headers, "header").select("source_file", "open", "places")
+    in_order = Window.partitionBy("source_file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    counted = splits.withColumn("before", F.coalesce(F.sum("lines").over(in_order), F.lit(0)))
+    starts = settle(
+        counted.join(placed, "source_file").select("source_file", "split", (F.col("before") - F.col("first_row")).alias("shift"), "open", "places")
+    )
+    rows = lines.join(small(starts), ["source_file", "split"]).filter(~F.col("open")).select(
+        "value", "source_file", "split", "row", (F.col("row") + F.col("shift")).alias("row_number"), "places"
+    )
+    if told["open"]:
+        few = small(settle(placed.filter("open").select("source_file", "places")))
+        whole = _joined_lines(numbered(texts.join(few.select("source_file"), "source_file"))).join(few, "source_file")
+        rows = rows.unionByName(whole.select(*rows.columns))
+    # Row 0 is the header.
+    data = rows.filter("row_number > 0").withColumn("fields", fields("value"))
+    return data.select(
+        *[F.get("fields", F.col("places")[n]).alias(name) for n, name in enumerate(columns)], "source_file",
+        row_order("split", "row").alias("seq"), "row_number",
+    )
+
+
+def read_parquet(spark: SparkSession, path: str) -> DataFrame:
+    rows = spark.read.parquet(path)
+    names = [F.col(f"`{name}`") for name in rows.columns]
+    told = rows.select(*names, F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.row_index").alias("__row"))
+    return told.select(*names, "source_file", row_order("__row").alias("seq"), (F.col("__row") + 1).alias("row_number"))
 
 
 def read_json_rows(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
@@ -103,8 +159,7 @@ def read_json_rows(spark: SparkSession, path: str, columns: Sequence[str]) -> Da
     parsed = objects.withColumn("r", F.from_json("entry", _texts(columns)))
     return parsed.select(
         *[F.col(f"r.`{name}`").alias(name) for name in columns],
-        "source_file", "line", "position",
-        F.monotonically_increasing_id().alias("seq"),
+        "source_file", "line", "position", row_order("line", "position").alias("seq"),
     )
 
 
@@ -131,7 +186,7 @@ def read_azure(spark: SparkSession, path: str) -> DataFrame:
     ).select(
         "source_file", "line", "position", "names",
         F.from_json("entry", "array<string>").alias("values"),
-        F.monotonically_increasing_id().alias("seq"),
+        row_order("line", "position").alias("seq"),
     )
 
 
@@ -150,7 +205,8 @@ def _rows(rows: DataFrame, columns: dict[str, Column]) -> DataFrame:
     named = rows.select(*[c.alias(name) for name, c in columns.items()], *position)
     full = named.withColumn("service_category", service_category(F.col("service_name")))
     extra = [name for name in ("start_text", "end_text", *position) if name not in COST.names]
-    return full.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in COST.fields], *extra)
+    # The order of landed rows is a struct until the rollup numbers its rows.
+    return full.select(*[F.col(f.name) if f.name == "seq" else F.col(f.name).cast(f.dataType).alias(f.name) for f in COST.fields], *extra)
 
 
 def aws_costs(rows: DataFrame) -> DataFrame:
@@ -272,9 +328,7 @@ def native_costs(spark: SparkSession, path: str, detected_format: str) -> DataFr
     )
     if container == "json":
         return normalise(read_json_rows(spark, path, columns))
-    rows = read_csv(spark, path) if container == "csv" else read_parquet(spark, path)
-    # Only rows without an id of their own need a number; the numbers come from one row per split.
-    return normalise(with_row_number(rows, rows))
+    return normalise(read_csv(spark, path, columns) if container == "csv" else read_parquet(spark, path))
 
 
 # ------------------------------------------------------------------ stored costs and the FOCUS projection
