@@ -37,7 +37,7 @@ from spendshift.llm.tables import settle, text_slices
 from spendshift.session import scratch_path
 
 # Bytes of text that are aligned and folded together.
-BATCH = 1 << 22
+BATCH = 1 << 20
 _SPACED = re.compile(" +[^ ]*")
 
 
@@ -49,7 +49,7 @@ class PieceEncoder(dict):
     chunks; results do not depend on it.
     """
 
-    def __init__(self, path: str, most: int = 300_000) -> None:
+    def __init__(self, path: str, most: int = 150_000) -> None:
         super().__init__()
         self.model, self.most = sentencepiece.SentencePieceProcessor(model_file=path), most
         pieces = [self.model.id_to_piece(n) for n in range(self.model.get_piece_size())]
