@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from spendshift.functions import text
 from spendshift.operators import documents, evaluate, history
 from spendshift.operators.evaluate import TOP_K
+from spendshift.session import scratch_path
+from spendshift.sources.snapshots import SnapshotStore
 from spendshift.workloads.registry import query
 from spendshift.workloads.views import table
 
@@ -167,6 +169,31 @@ def k5_new(spark, sf):
     return history.new_events(log.filter(F.col("stage") != "view"), stored)
 
 
+@query("k5_appended_batches", "WITH " + _EVENTS.strip() + " SELECT * FROM firsts")
+def k5_appended(spark, sf):
+    """The log appended to a store in batches in the order of the events, one of them twice, and compacted."""
+    log, snapshots = _log(spark, sf), SnapshotStore(spark, scratch_path(spark, "events"))
+    last = log.agg(F.max("event_id")).first()[0] or 0
+    bounds = [n * (last + 1) // 3 for n in range(4)]
+    for n in (0, 1, 1, 2):
+        batch = log.filter(F.col("event_id").between(bounds[n], bounds[n + 1] - 1))
+        snapshots.append("events", batch, f"batch-{n}", ["investigation_id", "sequence"], first_by=["event_id"], buckets=8)
+    snapshots.compact("events", most=2)
+    return snapshots.read("events").select("investigation_id", "sequence", "stage", "event_id")
+
+
+@query("k8_stored_retention", "WITH " + ",".join(x.strip() for x in (_STATES, _EVENTS)) + """,
+keep AS (SELECT investigation_id FROM newest ORDER BY created_at DESC, investigation_id DESC LIMIT 50)
+SELECT firsts.* FROM firsts SEMI JOIN keep USING (investigation_id)""")
+def k8_stored(spark, sf):
+    """What a store of events holds after all but the newest 50 investigations were removed from its files."""
+    snapshots = SnapshotStore(spark, scratch_path(spark, "retained"))
+    snapshots.append("events", _log(spark, sf), "all", ["investigation_id", "sequence"], first_by=["event_id"], buckets=8)
+    snapshots.retain("events", history.recent(history.newest_states(_states(spark, sf)), 50).select("investigation_id"))
+    snapshots.vacuum(versions=1, grace=0)
+    return snapshots.read("events").select("investigation_id", "sequence", "stage", "event_id")
+
+
 @query("k6_event_replay", "WITH " + _EVENTS.strip() + " SELECT sequence, stage, event_id FROM firsts WHERE investigation_id = 'inv-3' ORDER BY sequence")
 def k6(spark, sf):
     return history.replay(history.first_events(_log(spark, sf)), "inv-3").select("sequence", "stage", "event_id")

@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+import contextlib
+from functools import reduce
+
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spendshift.functions import classify, parsing, text
 from spendshift.operators import coverage, rollup
 from spendshift.plans.ingest import ingest_costs
+from spendshift.schemas import PROVIDERS
 from spendshift.session import scratch_path
 from spendshift.sources import landing, native, store
+from spendshift.sources.snapshots import SnapshotStore, slot_key
 from spendshift.workloads import exports
 from spendshift.workloads.oracle import (
     BASE, COSTS, CUR, EVIDENCE, category_case, with_,
@@ -365,6 +373,24 @@ def k1(spark, sf):
     return stored.groupBy("provider").agg(F.count(F.lit(1)).alias("rows"), F.sum("billed_cost").alias("billed_cost"))
 
 
+@query("k1_atomic_slot_replace", with_(COSTS) + """
+SELECT provider, count(*) AS rows, CAST(sum(billed_cost) AS DOUBLE) AS billed_cost FROM costs GROUP BY provider""")
+def k1_atomic(spark, sf):
+    """The same on versioned snapshots; a write of one slot that fails in the middle changes nothing."""
+    snapshots = SnapshotStore(spark, scratch_path(spark, "snapshots"))
+    costs = cost_rows(spark, sf)
+    for provider in PROVIDERS:
+        snapshots.replace(slot_key("d1", provider, "cost"), costs.filter((F.col("provider") == provider) & (F.col("seq") % 2 == 0)))
+    for provider in PROVIDERS:
+        snapshots.replace(slot_key("d1", provider, "cost"), costs.filter(F.col("provider") == provider))
+    spoiled = costs.withColumn("provider", F.when(F.col("seq") % 7 == 3, F.raise_error(F.lit("broken row"))).otherwise(F.col("provider")))
+    with contextlib.suppress(PySparkException, Py4JJavaError):
+        snapshots.replace(slot_key("d1", "aws", "cost"), spoiled)
+    now = snapshots.version()
+    stored = reduce(DataFrame.unionByName, [snapshots.read(key, now) for key in snapshots.keys(now)])
+    return stored.groupBy("provider").agg(F.count(F.lit(1)).alias("rows"), F.sum("billed_cost").alias("billed_cost"))
+
+
 @query("s12_period_pruned_scan", with_(COSTS) + f"""
 SELECT strftime(usage_date, '%Y-%m') AS month, count(*) AS rows, CAST(sum(effective_cost) AS DOUBLE) AS effective_cost
 FROM costs WHERE ({CUR}) OR ({BASE}) GROUP BY ALL""")
@@ -412,6 +438,22 @@ def k9(spark, sf):
     return store.live_datasets(dated, F.lit("2028-10-20").cast("timestamp")).select("dataset_id", "provider", "kind")
 
 
+@query("k9_expired_slots", with_(COSTS) + """
+SELECT 'd1/' || provider || '/cost' AS slot, count(*) AS rows FROM costs GROUP BY provider HAVING provider <> 'azure'""")
+def k9_expired(spark, sf):
+    """Slots of a store after one has expired; its files are gone from the disk as well."""
+    snapshots = SnapshotStore(spark, scratch_path(spark, "expiring"))
+    costs = cost_rows(spark, sf)
+    for provider in PROVIDERS:
+        snapshots.replace(slot_key("d1", provider, "cost"), costs.filter(F.col("provider") == provider))
+    snapshots.expire({slot_key("d1", "azure", "cost"): 100.0, slot_key("d1", "aws", "cost"): 101.0}, now=100.0)
+    snapshots.vacuum(versions=1, grace=0)
+    now = snapshots.version()
+    return reduce(DataFrame.unionByName, [
+        snapshots.read(key, now).groupBy().agg(F.count(F.lit(1)).alias("rows")).select(F.lit(key).alias("slot"), "rows") for key in snapshots.keys(now)
+    ])
+
+
 @query("k10_store_totals", with_(COSTS, EVIDENCE, _SOURCES) + """
 SELECT CAST(sum(byte_size) AS BIGINT) AS total_bytes, count(DISTINCT dataset_id) AS datasets,
   CAST(sum(byte_size) FILTER (dataset_id <> 'acct-3') AS BIGINT) AS other_bytes, max(stored_rows) AS largest_source FROM sources""")
