@@ -1,11 +1,13 @@
 """Removal of word passages that repeat across documents, by level-wise doubling.
 
-A window is ``words`` consecutive words. Level one looks at windows of half that length:
-every full window names the half-length window with the smallest hash inside it, so two
-equal full windows name the same one, and only the named ones need counting. Level two
-extends the windows whose half-length window stands in two documents to the full length
-and compares 128-bit digests; no other window is looked at again. Windows that repeat
-longer than ``words`` are covered by their parts, so no candidate survives level two.
+A window is ``words`` consecutive words. The levels look at parts of a window: a length of at most 16 words
+first, then twice as many, until the full length (13, 25 and 50 words for 50). Every full window
+names one part per level: at the first level the part with the smallest hash inside the window, at every
+later one the longer part that starts there (or ends with the window), so equal windows name
+equal parts. Parts that stand in two documents at one level are extended to the next,
+no other part is looked at again, and the levels end as soon as no part survives. At the
+full length the windows' words themselves are compared, by a BLAKE2 digest of 128 bits.
+Windows that repeat longer than ``words`` are covered by their parts.
 
 The first document of a passage (the smallest id) keeps it. Windows are judged on the
 input, not on what is left.
@@ -13,7 +15,8 @@ input, not on what is left.
 Defined cases: a null text has no words. A row with a null id loses nothing and is no
 earlier document. Rows that share an id never remove words from each other, and equal rows
 come back as often as they stand. Texts equal to that of a smaller id are settled by their
-digest alone. Very long texts are worked through in full, one text in memory at a time.
+digest alone. Very long texts are worked through in full, one text in memory at a time. Ids may be of any
+type with an order.
 """
 
 from __future__ import annotations
@@ -23,114 +26,133 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spendshift.llm.tables import settle, text_slices, words_of
-from spendshift.llm.wordhash import SEEDS, window_hashes, window_minima, word_hashes
+from spendshift.llm.tables import settle, words_of
+from spendshift.llm.wordhash import window_hashes
 from spendshift.session import scratch_path
 
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
+FIRST_LEVEL = 16
 
 
-def version_of(digest: Column) -> Column:
-    """A short mark that tells texts of one id apart."""
-    return F.hash(digest).alias("version")
+class WordHashes(dict):
+    """64-bit BLAKE2 hashes of words; the table stops growing at ``most`` words."""
 
+    def __init__(self, most: int = 150_000) -> None:
+        super().__init__()
+        self.most = most
 
-def _windows(place: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row and word number of every window that lies within one row of a run."""
-    counts = np.maximum(np.diff(place) - length + 1, 0)
-    rows = np.repeat(np.arange(len(counts)), counts)
-    before = np.concatenate(([0], np.cumsum(counts)[:-1]))
-    inside = np.arange(int(counts.sum())) - np.repeat(before, counts)
-    return rows, np.repeat(place[:-1], counts) + inside
+    def __missing__(self, word: bytes) -> int:
+        value = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        if len(self) < self.most and len(word) <= 48:
+            self[word] = value
+        return value
 
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
 
-def _anchor_of(hashes: np.ndarray, words: int) -> np.ndarray:
-    """The smallest half-length hash within each full window."""
-    half = words // 2
-    return window_minima(window_hashes(hashes, half), words - half + 1)
 
+def levels(words: int) -> list[int]:
+    """The lengths looked at, rising to ``words``; each at most twice the one before."""
+    found = [words]
+    while found[-1] > FIRST_LEVEL:
+        found.append(-(-found[-1] // 2))
+    return found[::-1]
 
-def _summaries(words: int):
-    """Per text: number of words, digest of the words, and the distinct anchors of its windows."""
+
+def _smallest(values: np.ndarray, length: int) -> np.ndarray:
+    """Place of the smallest of each ``length`` consecutive values, the first of equal ones; by doubling."""
+    places, size = np.arange(len(values)), 1
+    while size < length:
+        step = min(size, length - size)
+        one, other = places[:-step], places[step:]
+        places = np.where(values[one] <= values[other], one, other)
+        size += step
+    return places
+
+
+def _named(hashes: np.ndarray, lengths: list[int], level: int) -> np.ndarray:
+    """For every full window of a text the hash of the part it names at a level."""
+    words, length = lengths[-1], lengths[level]
+    if len(hashes) < words:
+        return np.zeros(0, dtype=np.int64)
+    first = lengths[0]
+    at = _smallest(window_hashes(hashes, first), words - first + 1)
+    starts = np.minimum(at, np.arange(len(at)) + words - length)
+    return window_hashes(hashes, length)[starts].view(np.int64)
+
+
+def _bytes_of(column: pa.Array, row: int) -> bytes:
+    return column[row].as_py() or b""
+
+
+def _summaries(lengths: list[int]):
+    """Per text: number of words, digest of the words, and the distinct parts its windows name at the first level."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = WordHashes()
         for batch in batches:
-            texts = batch.column(2)
-            for first, last, data, offsets in text_slices(texts):
-                starts, ends, place = words_of(data, offsets)
-                anchors = _anchor_of(word_hashes(data, starts, ends, SEEDS[0]), words)
-                rows, at = _windows(place, words)
-                named = anchors[at].view(np.int64)
-                order = np.lexsort((named, rows))
-                rows, named = rows[order], named[order]
-                fresh = np.ones(len(rows), dtype=bool)
-                fresh[1:] = (rows[1:] != rows[:-1]) | (named[1:] != named[:-1])
-                rows, named = rows[fresh], named[fresh]
-                bounds = np.searchsorted(rows, np.arange(last - first + 1)).astype(np.int32)
-                shas = []
-                for row in range(first, last):
-                    text = texts[row].as_py() or ""
-                    shas.append(hashlib.sha256(b" ".join(text.encode().split())).hexdigest())
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0)[first:last],
-                        batch.column(1)[first:last],
-                        pa.array(np.diff(place), pa.int64()),
-                        pa.array(shas, pa.string()),
-                        pa.ListArray.from_arrays(pa.array(bounds), pa.array(named)),
-                    ],
-                    ["doc_id", "digest", "n_words", "words_sha256", "anchors"],
-                )
+            texts = batch.column(2).cast(pa.large_binary())
+            counts, shas, parts = [], [], []
+            for row in range(batch.num_rows):
+                words = _bytes_of(texts, row).split()
+                counts.append(len(words))
+                shas.append(hashlib.sha256(b" ".join(words)).hexdigest())
+                parts.append(np.unique(_named(table.of(words), lengths, 0)) if len(words) >= lengths[-1] else [])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(shas, pa.string()), pa.array(parts, pa.list_(pa.int64()))],
+                ["doc_id", "digest", "n_words", "words_sha256", "parts"],
+            )
 
     return run
 
 
-def _candidates(words: int):
-    """The full-length digests of the windows whose anchor stands in two documents."""
-    half = words // 2
+def _extended(lengths: list[int], level: int):
+    """The distinct parts that a text's windows name at a level, where the part of the level before is wanted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = WordHashes()
         for batch in batches:
-            wanted = batch.column(3)
-            for first, last, data, offsets in text_slices(batch.column(2)):
-                starts, ends, place = words_of(data, offsets)
-                words_a = word_hashes(data, starts, ends, SEEDS[0])
-                anchors = _anchor_of(words_a, words).view(np.int64)
-                rows, at = _windows(place, words)
-                keep = np.zeros(len(at), dtype=bool)
-                bounds = np.searchsorted(rows, np.arange(last - first + 1))
-                for row in range(last - first):
-                    part = slice(bounds[row], bounds[row + 1])
-                    keep[part] = np.isin(anchors[at[part]], wanted[first + row].values.to_numpy(zero_copy_only=False))
-                rows, at = rows[keep], at[keep]
-                digests = [_full(words_a, half, words)[at].view(np.int64)]
-                del words_a
-                digests.append(_full(word_hashes(data, starts, ends, SEEDS[1]), half, words)[at].view(np.int64))
-                places = (at - place[rows]).astype(np.int32)
-                for cut in range(0, len(rows), 1 << 17):
-                    some = slice(cut, cut + (1 << 17))
-                    taken = pa.array(rows[some] + first)
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(taken), batch.column(1).take(taken), pa.array(digests[0][some]),
-                         pa.array(digests[1][some]), pa.array(places[some])],
-                        ["doc_id", "version", "h1", "h2", "start"],
-                    )
+            texts, parts = batch.column(2).cast(pa.large_binary()), []
+            for row in range(batch.num_rows):
+                hashes = table.of(_bytes_of(texts, row).split())
+                wanted = batch.column(3)[row].values.to_numpy(zero_copy_only=False)
+                parts.append(np.unique(_named(hashes, lengths, level)[np.isin(_named(hashes, lengths, level - 1), wanted)]))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(parts, pa.list_(pa.int64()))], ["row", "doc_id", "parts"]
+            )
 
     return run
 
 
-def _full(hashes: np.ndarray, half: int, words: int) -> np.ndarray:
-    """Hash of each full window, from its two half-length windows (and a middle word if odd)."""
-    if len(hashes) < words:
-        return np.zeros(0, dtype=np.uint64)
-    halves, count = window_hashes(hashes, half), len(hashes) - words + 1
-    pairs = np.stack((halves[:count], halves[words - half : words - half + count]))
-    middle = hashes[half : half + count] if words % 2 else np.zeros(count, dtype=np.uint64)
-    mixed = pairs[0] * np.uint64(SEEDS[0]) + (pairs[1] ^ (pairs[1] >> np.uint64(32))) * np.uint64(SEEDS[1])
-    return mixed + middle * np.uint64(0xD6E8FEB86659FD93)
+def _full_windows(lengths: list[int]):
+    """The digests of the full windows whose part of the last level but one is wanted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = WordHashes()
+        for batch in batches:
+            texts = batch.column(2).cast(pa.large_binary())
+            for row in range(batch.num_rows):
+                words = _bytes_of(texts, row).split()
+                wanted = batch.column(3)[row].values.to_numpy(zero_copy_only=False)
+                level = max(len(lengths) - 2, 0)
+                starts = np.flatnonzero(np.isin(_named(table.of(words), lengths, level), wanted))
+                joined = memoryview(b" ".join(words))
+                ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1
+                begins = ends - np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+                for cut in range(0, len(starts), 1 << 16):
+                    some = starts[cut : cut + (1 << 16)]
+                    spans = zip(begins[some].tolist(), ends[some + lengths[-1] - 1].tolist(), strict=True)
+                    digests = [hashlib.blake2b(joined[begin:end], digest_size=16).digest() for begin, end in spans]
+                    taken = pa.array(np.full(len(some), row))
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).take(taken), batch.column(1).take(taken), pa.array(digests, pa.binary()), pa.array(some.astype(np.int32))],
+                        ["row", "doc_id", "window", "start"],
+                    )
+
+    return run
 
 
 def _covered(starts: np.ndarray, n_words: int, words: int) -> np.ndarray:
@@ -148,10 +170,10 @@ def _cut(words: int):
         for batch in batches:
             removed, shas, kept = [], [], []
             for row in range(batch.num_rows):
-                text = batch.column(2)[row].as_py().encode()
+                text = (batch.column(1)[row].as_py() or "").encode()
                 data = np.frombuffer(text, dtype=np.uint8)
                 begins, ends, _ = words_of(data, np.array([0, len(data)]))
-                starts = batch.column(3)[row].values.to_numpy(zero_copy_only=False)
+                starts = batch.column(2)[row].values.to_numpy(zero_copy_only=False)
                 gone = _covered(starts, len(begins), words)
                 left = np.flatnonzero(~gone)
                 shas.append(hashlib.sha256(b" ".join([text[begins[i] : ends[i]] for i in left])).hexdigest())
@@ -165,8 +187,8 @@ def _cut(words: int):
                 parts.append(text[at:])
                 kept.append(b"".join(parts).decode())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(removed, pa.int64()), pa.array(shas), pa.array(kept)],
-                ["doc_id", "version", "n_removed", "kept_sha256", "kept_text"],
+                [batch.column(0), pa.array(removed, pa.int64()), pa.array(shas), pa.array(kept)],
+                ["row", "n_removed", "kept_sha256", "kept_text"],
             )
 
     return run
@@ -181,58 +203,57 @@ def drop_repeats(docs: DataFrame, words: int = 50, id_col: str = "doc_id", text_
     """
     if words < 2:
         raise ValueError("a window has two words or more")
+    lengths, kind = levels(words), docs.schema[id_col].dataType.simpleString()
     rows = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.sha2(F.col(text_col).cast("binary"), 256)).alias("digest"),
-        F.col(text_col).alias("text"),
+        F.col(id_col).alias("doc_id"), F.unhex(F.sha2(F.col(text_col).cast("binary"), 256)).alias("digest"), F.col(text_col).alias("text"),
     )
-    # A digest tells texts of one id apart wherever ids repeat.
-    version = version_of(F.col("digest"))
     found = settle(
-        rows.mapInArrow(_summaries(words), "doc_id long, digest binary, n_words long, words_sha256 string, anchors array<long>")
+        rows.mapInArrow(_summaries(lengths), f"doc_id {kind}, digest binary, n_words long, words_sha256 string, parts array<long>")
     )
     long_enough = (F.col("n_words") >= words) & F.col("doc_id").isNotNull()
-    firsts = found.filter(long_enough).groupBy("digest").agg(F.min("doc_id").alias("first"))
-    firsts = settle(firsts)
+    firsts = settle(found.filter(long_enough).groupBy("digest").agg(F.min("doc_id").alias("first")))
+
+    def repeated(listed: DataFrame) -> DataFrame:
+        """Parts that stand in two documents; settled, so that a join deals both sides and may split a hot part."""
+        spans = listed.groupBy("part").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+        return settle(spans.filter("low < high").select("part"))
+
+    def wanted(listed: DataFrame, *key: str) -> DataFrame:
+        return listed.join(repeated(listed), "part").groupBy(*key).agg(F.collect_set("part").alias("parts"))
 
-    # Level one: half-length windows that stand in two documents.
     listed = (
         found.filter(long_enough).join(firsts, (found["digest"] == firsts["digest"]) & (F.col("doc_id") == F.col("first")))
-        .select("doc_id", version_of(found["digest"]), F.explode("anchors").alias("anchor"))
-    )
-    repeated = listed.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high")
-    # Settled, so that the join deals both sides itself and may split the rows of a hot anchor.
-    repeated = settle(repeated.select("anchor"))
-    wanted = (
-        listed.join(repeated, "anchor").groupBy("doc_id", "version")
-        .agg(F.collect_set("anchor").alias("anchors"))
-    )
-    texts = (
-        rows.select("doc_id", version, "text").join(wanted, ["doc_id", "version"])
-        .select("doc_id", "version", "text", "anchors").dropDuplicates(["doc_id", "version"])
+        .select("doc_id", found["digest"], F.explode("parts").alias("part"))
     )
+    # One row per candidate text, numbered once it is written.
     spark = docs.sparkSession
     path = scratch_path(spark, "candidate-texts")
-    texts.write.parquet(path)
-    texts = spark.read.parquet(path)
-
-    # Level two: their full-length windows, by digest.
-    windows = texts.mapInArrow(_candidates(words), "doc_id long, version int, h1 long, h2 long, start int")
-    earliest = (
-        windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-        .filter("low < high").select("h1", "h2", "low")
-    )
-    earliest = settle(earliest)
-    later = (
-        windows.join(earliest, ["h1", "h2"]).filter("doc_id > low")
-        .groupBy("doc_id", "version").agg(F.collect_list("start").alias("starts"))
+    texts = rows.join(wanted(listed, "doc_id", "digest").withColumnRenamed("parts", "wanted"), ["doc_id", "digest"])
+    texts = texts.dropDuplicates(["doc_id", "digest"]).withColumn("row", F.monotonically_increasing_id())
+    texts.select("row", "doc_id", "digest", "text", "wanted").write.parquet(path)
+    stored = spark.read.parquet(path)
+    open_to = stored.select("row", "doc_id", "text", "wanted")
+    for level in range(1, len(lengths) - 1):
+        parts = settle(open_to.mapInArrow(_extended(lengths, level), f"row long, doc_id {kind}, parts array<long>"))
+        listed = parts.select("row", "doc_id", F.explode("parts").alias("part"))
+        surviving = settle(wanted(listed, "row").withColumnRenamed("parts", "wanted"))
+        open_to = stored.select("row", "doc_id", "text").join(surviving, "row").select("row", "doc_id", "text", "wanted")
+        if surviving.isEmpty():
+            break
+
+    windows = open_to.mapInArrow(_full_windows(lengths), f"row long, doc_id {kind}, window binary, start int")
+    earliest = settle(
+        windows.groupBy("window").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("window", "low")
     )
-    cut = texts.select("doc_id", "version", "text").join(later, ["doc_id", "version"]).select("doc_id", "version", "text", "starts").mapInArrow(
-        _cut(words), "doc_id long, version int, n_removed long, kept_sha256 string, kept_text string"
+    later = windows.join(earliest, "window").filter("doc_id > low").groupBy("row").agg(F.collect_list("start").alias("starts"))
+    cut = stored.select("row", "text").join(later, "row").select("row", "text", "starts").mapInArrow(
+        _cut(words), "row long, n_removed long, kept_sha256 string, kept_text string"
     )
+    cut = cut.join(stored.select("row", "doc_id", "digest"), "row").drop("row")
 
-    copies = found.join(firsts, "digest", "left").withColumn("version", version_of(F.col("digest")))
+    copies = found.join(firsts, "digest", "left")
     whole = F.coalesce((F.col("n_words") >= words) & (F.col("doc_id") > F.col("first")), F.lit(False))
-    return copies.drop("anchors").join(cut, ["doc_id", "version"], "left").select(
+    return copies.drop("parts").join(cut, ["doc_id", "digest"], "left").select(
         "doc_id", "digest", "n_words",
         F.when(whole, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
         F.when(whole, EMPTY_SHA).otherwise(F.coalesce("kept_sha256", "words_sha256")).alias("kept_sha256"),

@@ -52,15 +52,3 @@ def window_hashes(words: np.ndarray, length: int) -> np.ndarray:
             half = power // 2
             current = _mix(current[:-half] * _LEFT + current[half:] * _RIGHT)
     return result
-
-
-def window_minima(values: np.ndarray, length: int) -> np.ndarray:
-    """Smallest of each ``length`` consecutive values, by doubling."""
-    if len(values) < length:
-        return values[:0]
-    current, size = values, 1
-    while size * 2 <= length:
-        current = np.minimum(current[:-size], current[size:])
-        size *= 2
-    rest = length - size
-    return np.minimum(current[: len(current) - rest], current[rest:]) if rest else current
