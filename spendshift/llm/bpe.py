@@ -183,7 +183,7 @@ def _encoded(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, leaf:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(column, kind) for column, kind in zip(
                         zip(*rows, strict=True),
-                        [pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), *kinds], strict=True)],
+                        [batch.schema.field(0).type, pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), *kinds], strict=True)],
                     ["doc_id", "sha", "piece", "part", "ids_done", "leaf", *names],
                 )
 
@@ -212,14 +212,15 @@ def _encoded(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, leaf:
             joined.append(array("I", bpe.tree(runs)).tobytes())
         row = finish(b"".join(joined), bpe)
         return pa.table(
-            [pa.array([key[0].as_py()] * copies, pa.int64()), *[pa.array([value] * copies, kind) for value, kind in zip(row, kinds, strict=True)]],
+            [pa.array([key[0].as_py()] * copies, table.schema.field("doc_id").type), *[pa.array([value] * copies, kind) for value, kind in zip(row, kinds, strict=True)]],
             names=["doc_id", *names],
         )
 
-    piece_columns = "doc_id long, sha binary, piece int, part int, ids_done binary, leaf binary"
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    id_kind = docs.schema[id_col].dataType.simpleString()
+    piece_columns = f"doc_id {id_kind}, sha binary, piece int, part int, ids_done binary, leaf binary"
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     told = settle(rows.mapInArrow(narrow, f"{piece_columns}, {out}"))
     finished = told.filter("sha IS NULL").select("doc_id", *names)
     split = told.filter("sha IS NOT NULL").drop(*names)
     spread = split.repartition("doc_id", "sha", "piece", "part").mapInArrow(leaves, piece_columns.removesuffix(", leaf binary"))
-    return finished.unionByName(spread.groupBy("doc_id", "sha").applyInArrow(whole, f"doc_id long, {out}"))
+    return finished.unionByName(spread.groupBy("doc_id", "sha").applyInArrow(whole, f"doc_id {id_kind}, {out}"))

@@ -2,7 +2,7 @@
 
 The two halves of the unit vectors are quantised separately; a cell of the index is a pair
 of centroids. A query walks the pairs in the order of summed squared distance with a heap,
-until the visited cells hold ``share`` of all vectors and at least ``least`` of them. The
+until the visited cells hold ``share`` of all vectors. The
 entries of the visited cells are reranked by the exact cosine in double precision.
 
 Equal vectors are one entry with its ``top + 1`` smallest ids, which is all a list of
@@ -108,7 +108,7 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 def nearest(
     vectors: DataFrame, is_query: Column, top: int = 5, id_col: str = "vec_id", vector_col: str = "embedding",
-    share: float = 0.6, least: int = 2_000, centroids: int = CENTROIDS, sample: int = SAMPLE, block: int = 4_096, queries: int = 1_024,
+    share: float = 0.6, centroids: int = CENTROIDS, sample: int = SAMPLE, block: int = 4_096, queries: int = 1_024,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``top`` nearest of every row where ``is_query`` (over ``vec_id``) holds."""
     spark = vectors.sparkSession
@@ -154,7 +154,7 @@ def nearest(
     for row in distinct.groupBy("i", "j").count().collect():
         sizes[row["i"], row["j"]] = row["count"]
     total = int(sizes.sum())
-    wanted = max(int(np.ceil(share * total)), least)
+    wanted = int(np.ceil(share * total))
     index = spark.sparkContext.broadcast(Index(first, second, sizes))
     parts = [int(-(-size // block)) or 1 for size in sizes.sum(axis=1).tolist()]
     asked_vectors = asked.select("digest").distinct()

@@ -139,11 +139,10 @@ def pack(
     the piece's token ids as little-endian unsigned 32-bit integers.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    id_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
     names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
     end = np.array([end_id], dtype="<u4")
 
-    def table(pieces: list[tuple], part: int) -> pa.RecordBatch:
+    def table(pieces: list[tuple], part: int, id_type: pa.DataType) -> pa.RecordBatch:
         ids, starts, packed, tokens, numbers, offsets = zip(*pieces, strict=True)
         columns = [
             pa.array(ids, id_type), pa.array(starts, pa.int64()), pa.array([len(one) // 4 for one in packed], pa.int64()),
@@ -162,9 +161,9 @@ def pack(
                 packer.add(batch.column(0)[row].as_py(), np.concatenate((ids, end)))
                 if packer.length >= stretch:
                     if pieces := list(packer.flush(closed=False)):
-                        yield table(pieces, part)
+                        yield table(pieces, part, batch.schema.field(0).type)
         if pieces := list(packer.flush(closed=True)):
-            yield table(pieces, part)
+            yield table(pieces, part, batch.schema.field(0).type)
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     ordered = rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))

@@ -156,7 +156,9 @@ def fit(
         known = known.filter(usable)
     chosen = known.orderBy(F.xxhash64("id"), "id", "label").limit(sample)
     # The sample bounds the broadcast, so the texts are never shuffled.
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(
+        F.broadcast(chosen.withColumn("id", F.col("id").cast(docs.schema[id_col].dataType))), "id"
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -166,14 +168,16 @@ def fit(
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), lists], ["id", "label", "told"])
 
     # A drawn id may stand on many rows, so the joined rows are bounded again.
-    joined = texts.select("id", "text", "label").mapInArrow(run, "id long, label int, told array<float>")
+    kind = docs.schema[id_col].dataType.simpleString()
+    joined = texts.select("id", "text", "label").mapInArrow(run, f"id {kind}, label int, told array<float>")
     told = joined.orderBy(F.xxhash64("id", "label", "told"), "id", "label").limit(sample).toArrow()
     # The driver's order of arrival must not matter.
     if not told.num_rows:
         return grow(np.zeros((0, FEATURES), np.float32), np.zeros(0))
     table = told.column("told").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, FEATURES)
     label = told.column("label").to_numpy()
-    order = np.lexsort((*table.T, label, told.column("id").to_numpy()))
+    _, ids = np.unique(np.array(told.column("id").to_pylist(), dtype=object), return_inverse=True)
+    order = np.lexsort((*table.T, label, ids))
     return grow(table[order], label[order].astype(float))
 
 

@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spendshift.llm.tables import unused
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RULE_COLUMNS = "host string, path string, verdict string"
 
@@ -93,7 +95,8 @@ def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url", default: str
         .select("url", "path", "full", _short(F.col("full")).alias("key"))
     )
     fits = (F.col("key") == F.col("short")) & (F.col("full") == F.col("digest")) & F.col("path").startswith(F.col("rule_path"))
-    rank = F.struct("host_length", F.length("rule_path"), F.col("verdict") == "block", "rule", "verdict")
+    # The longest whole rule wins.
+    rank = F.struct(F.length("rule"), "host_length", F.col("verdict") == "block", "rule", "verdict")
     matched = expressions.join(ready, fits).groupBy("url").agg(F.max(rank).alias("best"))
     return urls.join(matched, "url", "left").select(
         "url", "host", "path", F.col("best.rule").alias("rule"),
@@ -101,10 +104,9 @@ def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url", default: str
     )
 
 
-def apply_rules(pages: DataFrame, rules: DataFrame, url_col: str = "url", default: str = "allow") -> DataFrame:
-    """The rows of ``pages`` with a struct ``judged`` (host, path, rule, verdict) in a column of that name."""
-    judged = judge(pages, rules, url_col, default).select(
-        F.col("url").alias("__url"), F.struct("host", "path", "rule", "verdict").alias("judged")
-    )
-    pages = pages.drop("judged")
-    return pages.join(judged, pages[url_col].eqNullSafe(F.col("__url")), "left").drop("__url")
+def apply_rules(pages: DataFrame, rules: DataFrame, url_col: str = "url", default: str = "allow", name: str = "judged") -> DataFrame:
+    """The rows of ``pages`` with a struct (host, path, rule, verdict); a column of that ``name`` is replaced."""
+    pages = pages.drop(name)
+    key = unused(pages, "judged_url")
+    judged = judge(pages, rules, url_col, default).select(F.col("url").alias(key), F.struct("host", "path", "rule", "verdict").alias(name))
+    return pages.join(judged, pages[url_col].eqNullSafe(F.col(key)), "left").drop(key)
