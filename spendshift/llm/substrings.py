@@ -73,15 +73,36 @@ def _smallest(values: np.ndarray, length: int) -> np.ndarray:
     return places
 
 
-def _named(hashes: np.ndarray, lengths: list[int], level: int) -> np.ndarray:
-    """For every full window of a text the hash of the part it names at a level."""
-    words, length = lengths[-1], lengths[level]
+def _named(hashes: np.ndarray, lengths: list[int], *wanted: int) -> list[np.ndarray]:
+    """For every full window of a text the hash of the part it names, at each wanted level."""
+    words, first = lengths[-1], lengths[0]
     if len(hashes) < words:
-        return np.zeros(0, dtype=np.int64)
-    first = lengths[0]
+        return [np.zeros(0, dtype=np.int64) for _ in wanted]
     at = _smallest(window_hashes(hashes, first), words - first + 1)
-    starts = np.minimum(at, np.arange(len(at)) + words - length)
-    return window_hashes(hashes, length)[starts].view(np.int64)
+    starts = [np.minimum(at, np.arange(len(at)) + words - lengths[level]) for level in wanted]
+    return [window_hashes(hashes, lengths[level])[start].view(np.int64) for level, start in zip(wanted, starts, strict=True)]
+
+
+def _windows(place: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and word number of every window that lies within one row of a run."""
+    counts = np.maximum(np.diff(place) - length + 1, 0)
+    rows = np.repeat(np.arange(len(counts)), counts)
+    before = np.concatenate(([0], np.cumsum(counts)[:-1]))
+    return rows, np.repeat(place[:-1], counts) + np.arange(int(counts.sum())) - np.repeat(before, counts)
+
+
+def _distinct_parts(texts: list[np.ndarray], lengths: list[int]) -> list[np.ndarray]:
+    """The distinct first-level parts of each text of a run, found in one pass over all its words."""
+    place = np.concatenate(([0], np.cumsum([len(one) for one in texts])))
+    rows, at = _windows(place, lengths[-1])
+    (named,) = _named(np.concatenate(texts), lengths, 0)
+    named = named[at]
+    order = np.lexsort((named, rows))
+    rows, named = rows[order], named[order]
+    fresh = np.ones(len(rows), dtype=bool)
+    fresh[1:] = (rows[1:] != rows[:-1]) | (named[1:] != named[:-1])
+    rows, named = rows[fresh], named[fresh]
+    return np.split(named, np.searchsorted(rows, np.arange(1, len(texts))))
 
 
 def _bytes_of(column: pa.Array, row: int) -> bytes:
@@ -91,22 +112,27 @@ def _bytes_of(column: pa.Array, row: int) -> bytes:
 def _summaries(lengths: list[int]):
     """Per text: number of words, digest of the words, and the distinct parts its windows name at the first level."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = WordHashes()
         for batch in batches:
             texts = batch.column(2).cast(pa.large_binary())
-            counts, shas, parts = [], [], []
+            counts, shas, parts, run, held = [], [], [], [], 0
             for row in range(batch.num_rows):
                 words = _bytes_of(texts, row).split()
                 counts.append(len(words))
                 shas.append(hashlib.sha256(b" ".join(words)).hexdigest())
-                parts.append(np.unique(_named(table.of(words), lengths, 0)) if len(words) >= lengths[-1] else [])
+                run.append(table.of(words))
+                held += len(words)
+                # Short texts are worked through together, about 64,000 words at a time.
+                if held >= 1 << 16 or row == batch.num_rows - 1:
+                    parts += _distinct_parts(run, lengths)
+                    run, held = [], 0
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(shas, pa.string()), pa.array(parts, pa.list_(pa.int64()))],
                 ["doc_id", "digest", "n_words", "words_sha256", "parts"],
             )
 
-    return run
+    return summed
 
 
 def _extended(lengths: list[int], level: int):
@@ -119,7 +145,8 @@ def _extended(lengths: list[int], level: int):
             for row in range(batch.num_rows):
                 hashes = table.of(_bytes_of(texts, row).split())
                 wanted = batch.column(3)[row].values.to_numpy(zero_copy_only=False)
-                parts.append(np.unique(_named(hashes, lengths, level)[np.isin(_named(hashes, lengths, level - 1), wanted)]))
+                before, named = _named(hashes, lengths, level - 1, level)
+                parts.append(np.unique(named[np.isin(before, wanted)]))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(parts, pa.list_(pa.int64()))], ["row", "doc_id", "parts"]
             )
@@ -138,7 +165,7 @@ def _full_windows(lengths: list[int]):
                 words = _bytes_of(texts, row).split()
                 wanted = batch.column(3)[row].values.to_numpy(zero_copy_only=False)
                 level = max(len(lengths) - 2, 0)
-                starts = np.flatnonzero(np.isin(_named(table.of(words), lengths, level), wanted))
+                starts = np.flatnonzero(np.isin(_named(table.of(words), lengths, level)[0], wanted))
                 joined = memoryview(b" ".join(words))
                 ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1
                 begins = ends - np.fromiter(map(len, words), dtype=np.int64, count=len(words))

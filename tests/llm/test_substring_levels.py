@@ -23,7 +23,7 @@ def test_equal_windows_name_equal_parts(words):
     for level in range(len(lengths)):
         named = {}
         for text in texts:
-            for at, part in enumerate(substrings._named(text, lengths, level).tolist()):
+            for at, part in enumerate(substrings._named(text, lengths, level)[0].tolist()):
                 assert named.setdefault(text[at : at + words].tobytes(), part) == part
 
 
