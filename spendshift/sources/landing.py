@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -10,6 +10,8 @@ from pyspark.sql import types as T
 
 from spendshift.functions.text import credential_markers
 from spendshift.schemas import DEFAULTS, EVIDENCE_SCHEMAS, REQUIRED_FIELDS
+from spendshift.session import settle
+from spendshift.sources.json_elements import LARGE_FILE, has_large_files, list_elements
 
 # Column names that identify an export.
 AWS_MARKERS = ["line_item_usage_start_date", "identity_line_item_id"]
@@ -96,47 +98,63 @@ def detect_formats(lines: DataFrame) -> DataFrame:
 
 
 def file_shapes(spark: SparkSession, path: str) -> DataFrame:
-    """Per text file: its first filled line, whether that is a whole JSON value, its filled lines, open quotes.
+    """Per text file: its first filled line, whether that is a whole JSON value, and its filled lines.
 
     Folded per file by partial aggregation; the result has one row per file.
     """
     filled = F.trim("value") != ""
     line = F.regexp_replace("value", "^\ufeff", "")
-    odd = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    shapes = read_lines(spark, path).groupBy("source_file").agg(
+    lines = _short_lines(spark, path).select(
+        "value", F.col("_metadata.file_path").alias("source_file"),
+        F.struct(F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("row")).alias("place"),
+    )
+    shapes = lines.groupBy("source_file").agg(
         F.min(F.when(filled, F.struct("place", line.alias("line")))).alias("first"),
         F.count(F.when(filled, 1)).alias("filled_lines"),
-        F.coalesce(F.max(odd % 2 == 1), F.lit(False)).alias("has_open_quotes"),
     )
     first = F.col("first.line")
     whole = F.json_object_keys(first).isNotNull() | F.json_array_length(first).isNotNull()
     return shapes.select(
-        "source_file", first.alias("first_line"), F.coalesce(whole, F.lit(False)).alias("is_whole_value"), "filled_lines",
-        "has_open_quotes",
+        "source_file", first.alias("first_line"), F.coalesce(whole, F.lit(False)).alias("is_whole_value"), "filled_lines"
     )
 
 
-def json_values(spark: SparkSession, path: str) -> DataFrame:
+def json_values(spark: SparkSession, path: str, handled: DataFrame | None = None) -> DataFrame:
     """The JSON values of a folder with their file and line (1 for a value that fills its file).
 
     A file whose first line is a whole value and that has more lines holds one value per
-    line; any other file is one value.
+    line; any other file is one value, put together from its lines. The files of ``handled`` (source_file)
+    are left out. Which file is which is a table that is joined, not a list on the driver.
     """
-    shapes = file_shapes(spark, path).select("source_file", "is_whole_value", "filled_lines").collect()
-    by_line = [row.source_file for row in shapes if row.is_whole_value and row.filled_lines > 1]
-    single = [row.source_file for row in shapes if not (row.is_whole_value and row.filled_lines > 1)]
-    parts = []
-    if single or not by_line:
-        texts = spark.read.text(single or path, wholetext=True)
-        parts.append(texts.select(F.trim("value", F.lit(" \t\r\n\ufeff")).alias("value"), F.col("_metadata.file_path").alias("source_file"), F.lit(1).cast("bigint").alias("line")))
-    if by_line:
-        lines = spark.read.text(by_line).select(
-            F.trim("value", F.lit(" \t\r\n\ufeff")).alias("value"), F.col("_metadata.file_path").alias("source_file"),
-            F.col("_metadata.file_block_start").alias("split_start"), F.monotonically_increasing_id().alias("seq"),
-        )
-        numbered = with_row_number(lines, lines.filter("value <> ''")).withColumnRenamed("row_number", "line")
-        parts.append(numbered.select("value", "source_file", "line"))
-    return reduce(DataFrame.unionByName, parts)
+    shapes = file_shapes(spark, path).select("source_file", (F.col("is_whole_value") & (F.col("filled_lines") > 1)).alias("by_line"))
+    if handled is not None:
+        shapes = shapes.join(handled.select("source_file").distinct(), "source_file", "left_anti")
+    shapes = small(settle(shapes))
+    trimmed = F.trim("value", F.lit(" \t\r\n\ufeff"))
+    lines = _short_lines(spark, path).select(
+        trimmed.alias("value"), F.col("_metadata.file_path").alias("source_file"),
+        F.col("_metadata.file_block_start").alias("split_start"), F.monotonically_increasing_id().alias("seq"),
+    )
+    told = lines.join(shapes, "source_file").filter("value <> ''")
+    by_line = told.filter("by_line")
+    numbered = with_row_number(by_line, by_line).withColumnRenamed("row_number", "line").select("value", "source_file", "line")
+    pieces = F.sort_array(F.collect_list(F.struct("split_start", "seq", "value")))
+    single = told.filter(~F.col("by_line")).groupBy("source_file").agg(pieces.alias("pieces")).select(
+        F.array_join(F.transform("pieces", lambda piece: piece["value"]), "\n").alias("value"), "source_file", F.lit(1).cast("bigint").alias("line")
+    )
+    return single.unionByName(numbered)
+
+
+def _short_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of a folder; longer ones than a large file has bytes belong to lists that are read by element."""
+    return spark.read.option("mapreduce.input.linerecordreader.line.maxlength", str(LARGE_FILE)).text(path)
+
+
+def json_lists(spark: SparkSession, path: str, above: int, keys: Sequence[str] = ("rows", "items"), strays: bool = False) -> DataFrame | None:
+    """(source_file, line, position, entry) of the lists in files above a size, or None where there is no such file."""
+    if not has_large_files(spark, path, above):
+        return None
+    return list_elements(spark, path, above, keys, strays).withColumn("line", F.lit(1).cast("bigint"))
 
 
 def format_mismatches(detected: DataFrame, provider: str) -> DataFrame:
@@ -178,20 +196,22 @@ def with_row_number(rows: DataFrame, wanted: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ evidence items
 
 
-def read_items(spark: SparkSession, path: str) -> DataFrame:
+def read_items(spark: SparkSession, path: str, large: int = LARGE_FILE) -> DataFrame:
     """Raw items as JSON text with their place: ``{"items": []}``, a bare array, or an item per line.
 
     A value that is none of these is one item of its own, so that it can be refused by name.
     """
-    values = json_values(spark, path)
+    lists = json_lists(spark, path, large, ("items",), strays=True)
+    values = json_values(spark, path, lists)
     held = F.from_json("value", "struct<items:array<string>>")["items"]
     items = (
         F.when(F.startswith("value", F.lit("[")), F.from_json("value", "array<string>"))
         .otherwise(F.coalesce(held, F.array("value")))
     )
-    return values.select("source_file", "line", F.posexplode(items).alias("position", "item")).withColumn(
-        "seq", row_order("line", "position")
-    )
+    told = values.select("source_file", "line", F.posexplode(items).alias("position", "item"))
+    if lists is not None:
+        told = told.unionByName(lists.select("source_file", "line", "position", F.coalesce("entry", F.lit("null")).alias("item")))
+    return told.withColumn("seq", row_order("line", "position"))
 
 
 def row_number_of(rows: DataFrame) -> Column:

@@ -25,7 +25,8 @@ from spendshift.operators.coverage import FOCUS_VERSION, require_focus_version
 from spendshift.periods import Period, in_any
 from spendshift.schemas import COST
 from spendshift.session import settle
-from spendshift.sources.landing import json_values, row_order, small
+from spendshift.sources.json_elements import LARGE_FILE
+from spendshift.sources.landing import json_lists, json_values, row_order, small
 
 AWS_COLUMNS = [
     "identity_line_item_id", "bill_payer_account_id", "line_item_usage_account_id",
@@ -143,9 +144,13 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     return told.select(*names, "source_file", row_order("__row").alias("seq"), (F.col("__row") + 1).alias("row_number"))
 
 
-def read_json_rows(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
-    """Rows of ``{"rows": []}``, ``{"items": []}`` or bare-array values; non-objects drop out."""
-    values = json_values(spark, path)
+def read_json_rows(spark: SparkSession, path: str, columns: Sequence[str], large: int = LARGE_FILE) -> DataFrame:
+    """Rows of ``{"rows": []}``, ``{"items": []}`` or bare-array values; non-objects drop out.
+
+    A list in a file of more than ``large`` bytes is read by several tasks.
+    """
+    lists = json_lists(spark, path, large)
+    values = json_values(spark, path, lists)
     held = F.from_json("value", "struct<rows:array<string>,items:array<string>>")
     listed = values.withColumn("held", held)
     filled = F.when(F.size("held.rows") > 0, F.col("held.rows")).when(F.size("held.items") > 0, F.col("held.items"))
@@ -155,6 +160,8 @@ def read_json_rows(spark: SparkSession, path: str, columns: Sequence[str]) -> Da
         .when(bare, F.array("value")).otherwise(filled)
     )
     exploded = listed.select("source_file", "line", F.posexplode(entries).alias("position", "entry"))
+    if lists is not None:
+        exploded = exploded.unionByName(lists)
     objects = exploded.filter(F.startswith(F.ltrim(F.col("entry")), F.lit("{")))
     parsed = objects.withColumn("r", F.from_json("entry", _texts(columns)))
     return parsed.select(
