@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spendshift.llm.chunks import ChunkEncoder, token_bytes
-from spendshift.llm.tables import settle, text_slices
+from spendshift.llm.tables import bounded_batches, settle, text_slices
 from spendshift.session import scratch_path
 
 # Bytes of text that are aligned and folded together.
@@ -225,7 +225,7 @@ def align(
                     )
 
     names = ["batch", "doc_id", *figures, "groups_sha256", "groups", "places", "times", "pairs", "holders"]
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = bounded_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     path = scratch_path(spark, "aligned")
     rows.mapInArrow(
         aligned,

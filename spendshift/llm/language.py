@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spendshift.llm.tables import settle, text_slices
+from spendshift.llm.tables import bounded_batches, settle, text_slices
 
 DIMENSIONS, SAMPLE, CENTROIDS, ROUNDS = 1 << 12, 1_500, 4, 12
 # The least limit, the quantile and the share of it that make the others, and the texts that a quantile needs.
@@ -38,6 +38,8 @@ REJECT, QUANTILE, MARGIN, FEWEST = 0.08, 0.01, 0.6, 50
 # Numbers of n-grams that have a limit of their own: 16, 32, ..., 8192.
 _SIZES = 1 << np.arange(4, 14)
 UNKNOWN = "und"
+# Sampled ids up to which they are broadcast (about 20 MB).
+SMALL_IDS = 300_000
 _LETTER = re.compile(r"[^\W\d_]")
 
 # ASCII letters fold to lower case, bytes of other letters stay, everything else is a space.
@@ -165,7 +167,7 @@ def fit(
 
     A task holds ``sample`` texts of one language, the driver the centroids and ``DIMENSIONS`` sums.
     """
-    taught = docs.filter(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    taught = bounded_batches(docs).filter(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     sums = taught.select(F.col(text_col).alias("text")).mapInArrow(_frequencies, "dimension int, rows long")
     summed = {row[0]: row[1] for row in sums.groupBy("dimension").agg(F.sum("rows")).collect()}
     rows = summed.get(-1, 0)
@@ -178,9 +180,10 @@ def fit(
     drawn = taught.select(id_col, lang_col).join(known, F.col(lang_col) == F.col("__known")).filter(place <= F.col("__share")).select(id_col, lang_col)
     order = Window.partitionBy(lang_col).orderBy(F.xxhash64(id_col), id_col)
     chosen = drawn.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= sample)
-    # Spark broadcasts the chosen ids while they are few; with very many languages it deals both sides.
+    # The chosen ids are sent to all tasks while they are few; with very many languages both sides are dealt.
     ids = settle(chosen.select(id_col, lang_col).distinct())
-    texts = taught.select(id_col, lang_col, text_col).join(ids, [id_col, lang_col])
+    few = ids.count() <= SMALL_IDS
+    texts = taught.select(id_col, lang_col, text_col).join(F.broadcast(ids) if few else ids, [id_col, lang_col])
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -231,7 +234,7 @@ def identify(
     Rejected are texts with a score below ``reject``, or without it below the model's limits, and those that are
     ``und``. Columns of ``docs`` that have one of the three names are replaced.
     """
-    docs = docs.drop(*names)
+    docs = bounded_batches(docs).drop(*names)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 

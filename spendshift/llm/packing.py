@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spendshift.llm.chunks import ChunkEncoder, token_bytes
+from spendshift.llm.tables import bounded_batches
 
 _ENCODERS: dict[str, tuple[ChunkEncoder, np.ndarray]] = {}
 _SENTENCE_END = re.compile(rb"[.!?]+[\"')\]]*\xff?")
@@ -165,7 +166,7 @@ def pack(
         if pieces := list(packer.flush(closed=True)):
             yield table(pieces, part, batch.schema.field(0).type)
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = bounded_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     ordered = rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
     return ordered.mapInArrow(
         run, f"doc_id {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"

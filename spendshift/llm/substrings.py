@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spendshift.llm.tables import settle, words_of
+from spendshift.llm.tables import bounded_batches, settle, words_of
 from spendshift.llm.wordhash import window_hashes
 from spendshift.session import scratch_path
 
@@ -231,7 +231,7 @@ def drop_repeats(docs: DataFrame, words: int = 50, id_col: str = "doc_id", text_
     if words < 2:
         raise ValueError("a window has two words or more")
     lengths, kind = levels(words), docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(
+    rows = bounded_batches(docs).select(
         F.col(id_col).alias("doc_id"), F.unhex(F.sha2(F.col(text_col).cast("binary"), 256)).alias("digest"), F.col(text_col).alias("text"),
     )
     found = settle(

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from spendshift.session import settle
 
-__all__ = ["held_out", "read", "settle", "text_slices", "unused", "words_of"]
+__all__ = ["bounded_batches", "held_out", "read", "settle", "text_slices", "unused", "words_of"]
 
 # The word separators of all word operators: space, and tab to carriage return.
 _SPACE = np.zeros(256, dtype=bool)
@@ -28,6 +28,18 @@ def held_out(doc_id: Column, parts: int, part: int) -> Column:
     return F.coalesce(remainder == part, F.lit(False))
 
 
+# Rows of an Arrow batch of whole texts: a batch and its copies in a Python worker stay within tens of MB.
+BATCH_ROWS = 2_000
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """``df``, after the session's Arrow batches have been bounded for rows that carry whole texts."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(name, "10000")) <= BATCH_ROWS:
+        df.sparkSession.conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def unused(df: DataFrame, name: str) -> str:
     """The name, lengthened until no column of ``df`` has it."""
     taken = {column.lower() for column in df.columns}
