@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spendshift.functions.classify import contains_any as contains_any_of
@@ -494,6 +494,18 @@ def c2(spark, sf):
     )
 
 
+@query("c3_evidence_rows", with_(*CASE_SQL, SPECS, SCORES, CHOSEN_ROWS) + f"""
+SELECT {_EVIDENCE_ID} AS evidence_id, provider, source_type, source_id, numeric_value, count(*) OVER (PARTITION BY provider, source_type) AS of_kind,
+  row_number() OVER (PARTITION BY candidate_id ORDER BY n) AS in_candidate FROM evid""")
+def c3_rows(spark, sf):
+    """Every evidence row but its wording: which rows there are, their kinds, and their places among their candidate's."""
+    kind, own = Window.partitionBy("provider", "source_type"), Window.partitionBy("candidate_id").orderBy(F.length("evidence_id"), "evidence_id")
+    return evidence_rows(spark, sf).select(
+        "evidence_id", "provider", "source_type", "source_id", "numeric_value", F.count(F.lit(1)).over(kind).alias("of_kind"),
+        F.row_number().over(own).alias("in_candidate"),
+    )
+
+
 @query("c3_evidence_statements")
 def c3(spark, sf):
     """Statement texts; the wording is ours, so only the row set is comparable."""

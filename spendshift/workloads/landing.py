@@ -497,6 +497,32 @@ def c1(spark, sf):
         F.count(F.lit(1)).alias("rows"), F.sum("billed_cost").alias("billed_cost"), F.sum("effective_cost").alias("effective_cost"))
 
 
+def _monthly(done):
+    return done.costs.groupBy(F.date_format("usage_date", "yyyy-MM").alias("month"), "service_name").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("billed_cost").alias("billed_cost"), F.sum("effective_cost").alias("effective_cost"))
+
+
+def _ingested_sql(provider: str, billed: str, effective: str, charge: str) -> str:
+    return with_(COSTS) + f""",
+own AS (SELECT *, {charge} AS c, {billed} AS b, {effective} AS e FROM costs WHERE provider = '{provider}'),
+rolled AS (SELECT usage_date, service_name, sum(b) AS b, sum(e) AS e FROM own
+  GROUP BY billing_account_id, usage_date, service_name, sku_id, region_id, resource_id, c, currency, tag_env, tag_owner)
+SELECT strftime(usage_date, '%Y-%m') AS month, service_name, count(*) AS rows, CAST(sum(b) AS DOUBLE) AS billed_cost,
+  CAST(sum(e) AS DOUBLE) AS effective_cost FROM rolled GROUP BY ALL"""
+
+
+@query("c1_ingest_azure_source", _ingested_sql("azure", "billed_cost", "effective_cost", "charge_category"))
+def c1_azure(spark, sf):
+    return _monthly(ingest_costs(spark, exports.azure_json_lines(spark, sf), "azure"))
+
+
+@query("c1_ingest_gcp_source", _ingested_sql(
+    "gcp", f"billed_cost * ({_SIGN})", f"billed_cost * ({_SIGN}) + effective_cost - billed_cost",
+    "CASE WHEN charge_category = 'credit' AND billed_cost > 0 THEN 'credit' ELSE 'usage' END"))
+def c1_gcp(spark, sf):
+    return _monthly(ingest_costs(spark, exports.gcp_csv(spark, sf), "gcp"))
+
+
 # ------------------------------------------------------------------ scalar functions
 
 
