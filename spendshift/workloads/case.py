@@ -9,7 +9,8 @@ from spendshift.functions.classify import contains_any as contains_any_of
 from spendshift.functions.classify import has_owner
 from spendshift.operators import compare, coverage, evidence, filters, findings, playbooks
 from spendshift.plans.investigate import Request, Tables, case_files, gaps_of, investigate
-from spendshift.session import settle
+from spendshift.session import scratch_path, settle
+from spendshift.sources import metric_store
 from spendshift.sources.reference_tables import WORDING, billing_rules
 from spendshift.sources.reference_tables import playbooks as playbook_table
 from spendshift.workloads import exports
@@ -412,6 +413,18 @@ def s13(spark, sf):
     )
 
 
+@query("s13_stored_metric_scan", with_(*CASE_SQL) + """
+SELECT p.provider, p.resource_id, p.metric_name, count(*) AS points, CAST(sum(p.value) AS DOUBLE) AS total
+FROM points p SEMI JOIN cfull c ON c.provider = p.provider AND c.resource_id = p.resource_id GROUP BY ALL""")
+def s13_stored(spark, sf):
+    """The same from a store that is laid out by resource and lists the candidates' buckets only."""
+    path = scratch_path(spark, "metric-points")
+    metric_store.write_points(metric_points(spark, sf), path)
+    keys = candidates(spark, sf).filter("resource_id is not null")
+    own = metric_store.read_points(spark, path, keys, ("provider", "resource_id"))
+    return own.groupBy("provider", "resource_id", "metric_name").agg(F.count(F.lit(1)).alias("points"), F.sum("value").alias("total"))
+
+
 @query("f10_candidate_allowlist", with_(COSTS, changes("keyed"), CANDIDATES) + """
 SELECT candidate_id, key, absolute_change FROM cand c WHERE EXISTS (SELECT 1 FROM (
   SELECT candidate_id, row_number() OVER (PARTITION BY provider ORDER BY kept_position DESC) AS r FROM cand) a
