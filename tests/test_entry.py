@@ -40,7 +40,7 @@ def test_the_optional_parts_may_be_absent(monkeypatch):
 def test_every_oracle_has_a_query():
     assert set(contract.oracle_sql()) <= set(contract.queries())
     own = {name for name in contract.queries() if not re.match(r"op[0-9]+_|pipeline$", name)}
-    assert own - set(contract.oracle_sql()) == {"c3_evidence_statements", "p17_scrubbed_text"}
+    assert own - set(contract.oracle_sql()) == {"c3_evidence_statements"}
 
 
 @pytest.mark.parametrize("name", SAMPLE)
