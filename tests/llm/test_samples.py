@@ -22,9 +22,8 @@ def test_a_hot_id_stays_within_the_samples(spark, monkeypatch):
     # With a sample of all ids but not of all rows, the hot id is drawn for certain.
     quality.fit(docs, labels, sample=50)
     assert sizes == [50]
-    # The languages are fitted in tasks: a sample of one row has one centroid, whatever its id stands on.
-    assert len(language.fit(docs, F.lit(True), sample=1, centroids=4).names) == 1
-    assert len(language.fit(docs, F.lit(True), sample=60, centroids=4).names) == 4
+    # The languages are fitted in tasks: there are at most as many centroids as sampled rows, whatever an id stands on.
+    assert 1 < len(language.fit(docs, F.lit(True), sample=60, centroids=400).names) <= 60
     sizes.clear()
     quality.fit(docs.filter("doc_id <> 7"), labels, sample=50)
     assert sizes == [39]
