@@ -1,8 +1,9 @@
 """Connected components of an edge table, by alternating star contractions.
 
 Every round is two grouped minima and two joins over the edges; no component is ever
-gathered in one task. Rounds are cut by checkpoints in the shared folder, and their
-number grows with the logarithm of the longest path.
+gathered in one task. Rounds are cut by checkpoints in the shared folder, their
+number grows with the logarithm of the longest path, and they end as soon as the edges
+are stars, which one count by node tells.
 """
 
 from __future__ import annotations
@@ -33,22 +34,25 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node has at most one edge down, and none that others point to has any."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up")).union(
+        edges.select("b", F.lit(0), F.lit(1))
+    )
+    counted = ends.groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up"))
+    return counted.filter("down > 1 OR (down > 0 AND up > 0)").agg(F.count(F.lit(1))).first()[0] == 0
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b): the component's smallest node.
 
     Nodes without an edge to another node are not listed; repeated edges, loops and nulls
     change nothing; an empty table gives an empty result.
     """
-    edges = settle(edges.select("a", "b").filter("a <> b").distinct())
-    seen = None
-    while True:
+    edges = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    edges = settle(edges.distinct())
+    while not _are_stars(edges):
         edges = settle(_small_star(_large_star(edges)))
-        state = edges.agg(
-            F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")
-        ).first()
-        if state == seen:
-            break
-        seen = state
     stars = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     centres = stars.select("component").distinct().select(F.col("component").alias("node"), "component")
     return stars.union(centres)

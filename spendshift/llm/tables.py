@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendshift.session import settle
+from spendshift.session import checkpoint_dir
 
 __all__ = ["bounded_batches", "held_out", "read", "settle", "text_slices", "unused", "words_of"]
 
@@ -18,6 +18,27 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 
+# Whether Spark removes a query's shuffle files as soon as it has ended.
+_FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Compute a table that several later steps read once, cut its lineage and free its shuffle files.
+
+    Nothing reads those files again once the table is written, so iterative operators hold
+    the shuffles of one step on disk and not those of all.
+    """
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    before = spark.conf.get(_FREE)
+    spark.conf.set(_FREE, "true")
+    try:
+        # The setting holds for plans made from here on, therefore a new one.
+        return df.select("*").checkpoint(eager=True)
+    finally:
+        spark.conf.set(_FREE, before)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
