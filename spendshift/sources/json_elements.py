@@ -42,7 +42,10 @@ def has_large_files(spark: SparkSession, path: str, above: int = LARGE_FILE) ->
     return not spark.read.text(path).filter(F.col("_metadata.file_size") > above).select(F.lit(1)).limit(1).isEmpty()
 
 
-def list_elements(spark: SparkSession, path: str, above: int = LARGE_FILE, keys: Sequence[str] = ("rows", "items"), strays: bool = False) -> DataFrame:
+def list_elements(
+    spark: SparkSession, path: str, above: int = LARGE_FILE, keys: Sequence[str] = ("rows", "items"), strays: bool = False,
+    by_line: DataFrame | None = None,
+) -> DataFrame | None:
     """(source_file, position, entry): the objects of the one list of every file of more than ``above`` bytes.
 
     The list is the file's value, or the first field of its one object, under one of the ``keys``.
@@ -50,6 +53,9 @@ def list_elements(spark: SparkSession, path: str, above: int = LARGE_FILE, keys:
     Positions count all entries of a list from 0. Entries that are not objects are left out; with ``strays`` they
     are rows with a null entry, if the list has any object. Files that hold something else, or more than one
     value, give no rows.
+
+    ``by_line`` (source_file, first_line) names files that hold a value per line. Where their first line is that one,
+    their pieces are not looked at; None if no file is left.
     """
     header = r'^[\s\x{FEFF}]*+(?:\[|\{\s*+"(?:' + "|".join(keys) + r')"\s*+:\s*+\[)'
     text = spark.read.option("lineSep", "}").text(path).filter(F.col("_metadata.file_size") > above)
@@ -59,8 +65,16 @@ def list_elements(spark: SparkSession, path: str, above: int = LARGE_FILE, keys:
     )
     heads = settle(
         pieces.groupBy("source_file").agg(F.min(F.struct("split", "row", "value"))["value"].alias("head"), F.max(F.struct("split", "row")).alias("last"))
-        .select("source_file", F.regexp_extract("head", header, 0).alias("header"), "last")
+        .select("source_file", "head", F.regexp_extract("head", header, 0).alias("header"), "last")
     )
+    if by_line is not None:
+        space = F.lit(" \t\r\n\ufeff")
+        # A line longer than a text reader takes may stand before the first line it tells.
+        same = F.startswith(F.trim("first_line", space), F.trim("head", space))
+        heads = heads.join(by_line.filter("first_line IS NOT NULL"), "source_file", "left").filter(~F.coalesce(same, F.lit(False)))
+        if heads.filter("header <> ''").isEmpty():
+            return None
+    heads = heads.select("source_file", "header", "last")
     known = pieces.join(heads.filter("header <> ''"), "source_file")
     first = (F.col("split") == 0) & F.startswith("value", "header")
     is_first = F.row_number().over(Window.partitionBy("source_file", "split").orderBy("row")) == 1

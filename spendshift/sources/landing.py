@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from spendshift.functions.text import credential_markers
 from spendshift.schemas import DEFAULTS, EVIDENCE_SCHEMAS, REQUIRED_FIELDS
-from spendshift.session import settle
+from spendshift.session import settle, with_once
 from spendshift.sources.json_elements import LARGE_FILE, has_large_files, list_elements
 
 # Column names that identify an export.
@@ -51,28 +51,37 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def first_lines(lines: DataFrame, splits: DataFrame) -> DataFrame:
+    """(source_file, value) of the first line of each file, from its splits (source_file, split, first_row; null: none).
+
+    Places are folded as numbers and their lines are looked up in a second scan, so no line is sorted.
+    """
+    first = F.min(F.struct("split", "first_row"))
+    at = splits.filter("first_row IS NOT NULL").groupBy("source_file").agg(first.alias("at"))
+    at = settle(at.select("source_file", F.col("at.split").alias("split"), F.col("at.first_row").alias("row")))
+    return lines.join(small(at), ["source_file", "split", "row"]).select("source_file", "value")
+
+
 def detect_formats(lines: DataFrame) -> DataFrame:
     """Format of every file from its columns; unknown files get a null format.
 
-    Flags and the first line are folded per file by partial aggregation, so no file is
+    Flags and the place of the first line are folded per file by partial aggregation, so no file is
     ever gathered in one place.
     """
+    lines = lines.select("value", "source_file", F.col("place")["split"].alias("split"), F.col("place")["row"].alias("row"))
     text = F.col("value")
     filled = F.trim(text) != ""
     key_names = [*AWS_MARKERS, *GCP_MARKERS, AZURE_MARKER]
 
-    def seen(pattern: str) -> Column:
-        return F.max(text.rlike(pattern))
-
-    flags = [seen(f'"{name.replace(".", "[.]")}"').alias(f"has_{i}") for i, name in enumerate(key_names)]
-    per_file = lines.groupBy("source_file").agg(
-        F.min(F.when(filled, F.struct("place", "value"))).alias("first"),
-        seen('"columns"').alias("has_columns"),
-        seen('"rows"').alias("has_rows"),
-        *flags,
-    )
-    header = F.transform(F.split("first.value", ","), lambda c: F.trim(F.regexp_replace(c, '"', "")))
-    is_json = F.coalesce(F.trim("first.value").rlike(r"^[\[{]"), F.lit(False))
+    names = {"has_columns": "columns", "has_rows": "rows"} | {f"has_{i}": name for i, name in enumerate(key_names)}
+    splits = settle(lines.groupBy("source_file", "split").agg(
+        F.min(F.when(filled, F.col("row"))).alias("first_row"),
+        *[F.max(F.contains(text, F.lit(f'"{name}"'))).alias(flag) for flag, name in names.items()],
+    ))
+    flags = splits.groupBy("source_file").agg(*[F.max(flag).alias(flag) for flag in names])
+    per_file = flags.join(first_lines(lines, splits).withColumnRenamed("value", "first"), "source_file", "left")
+    header = F.transform(F.split("first", ","), lambda c: F.trim(F.regexp_replace(c, '"', "")))
+    is_json = F.coalesce(F.trim("first").rlike(r"^[\[{]"), F.lit(False))
     in_json = F.array_compact(
         F.array(*[F.when(F.col(f"has_{i}"), F.lit(name)) for i, name in enumerate(key_names)])
     )
@@ -97,22 +106,27 @@ def detect_formats(lines: DataFrame) -> DataFrame:
     return named.select("source_file", detected.alias("detected_format"), found.alias("found_columns"))
 
 
-def file_shapes(spark: SparkSession, path: str) -> DataFrame:
-    """Per text file: its first filled line, whether that is a whole JSON value, and its filled lines.
+# Of the rows of ``file_shapes``: whether a file holds one value per line.
+_BY_LINE = "is_whole_value AND filled_lines > 1"
+
+
+def file_shapes(spark: SparkSession, path: str, above: int = -1) -> DataFrame:
+    """Per text file of more than ``above`` bytes: its first filled line, whether that is a whole JSON value, and its filled lines.
 
     Folded per file by partial aggregation; the result has one row per file.
     """
     filled = F.trim("value") != ""
     line = F.regexp_replace("value", "^\ufeff", "")
-    lines = _short_lines(spark, path).select(
-        "value", F.col("_metadata.file_path").alias("source_file"),
-        F.struct(F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("row")).alias("place"),
+    lines = _short_lines(spark, path).filter(F.col("_metadata.file_size") > above).select(
+        "value", F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("split"),
+        F.monotonically_increasing_id().alias("row"),
     )
-    shapes = lines.groupBy("source_file").agg(
-        F.min(F.when(filled, F.struct("place", line.alias("line")))).alias("first"),
-        F.count(F.when(filled, 1)).alias("filled_lines"),
-    )
-    first = F.col("first.line")
+    splits = settle(lines.groupBy("source_file", "split").agg(
+        F.min(F.when(filled, F.col("row"))).alias("first_row"), F.count(F.when(filled, 1)).alias("lines"),
+    ))
+    counted = splits.groupBy("source_file").agg(F.sum("lines").alias("filled_lines"))
+    shapes = counted.join(first_lines(lines, splits).select("source_file", line.alias("first")), "source_file", "left")
+    first = F.col("first")
     whole = F.json_object_keys(first).isNotNull() | F.json_array_length(first).isNotNull()
     return shapes.select(
         "source_file", first.alias("first_line"), F.coalesce(whole, F.lit(False)).alias("is_whole_value"), "filled_lines"
@@ -126,7 +140,7 @@ def json_values(spark: SparkSession, path: str, handled: DataFrame | None = None
     line; any other file is one value, put together from its lines. The files of ``handled`` (source_file)
     are left out. Which file is which is a table that is joined, not a list on the driver.
     """
-    shapes = file_shapes(spark, path).select("source_file", (F.col("is_whole_value") & (F.col("filled_lines") > 1)).alias("by_line"))
+    shapes = file_shapes(spark, path).select("source_file", F.expr(_BY_LINE).alias("by_line"))
     if handled is not None:
         shapes = shapes.join(handled.select("source_file").distinct(), "source_file", "left_anti")
     shapes = small(settle(shapes))
@@ -151,10 +165,15 @@ def _short_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def json_lists(spark: SparkSession, path: str, above: int, keys: Sequence[str] = ("rows", "items"), strays: bool = False) -> DataFrame | None:
-    """(source_file, line, position, entry) of the lists in files above a size, or None where there is no such file."""
+    """(source_file, line, position, entry) of the lists in files above a size, or None where there is no such list.
+
+    A large file with a value per line is known by its first line; its elements are not counted for that.
+    """
     if not has_large_files(spark, path, above):
         return None
-    return list_elements(spark, path, above, keys, strays).withColumn("line", F.lit(1).cast("bigint"))
+    by_line = settle(file_shapes(spark, path, above).filter(_BY_LINE).select("source_file", "first_line"))
+    found = list_elements(spark, path, above, keys, strays, by_line)
+    return None if found is None else found.withColumn("line", F.lit(1).cast("bigint"))
 
 
 def format_mismatches(detected: DataFrame, provider: str) -> DataFrame:
@@ -251,7 +270,7 @@ def evidence_items(items: DataFrame, provider: str, kind: str) -> tuple[DataFram
     Rejections name fields and never carry values.
     """
     schema = EVIDENCE_SCHEMAS[kind]
-    raw = items.withColumn("raw", F.from_json("item", "map<string,string>"))
+    raw = with_once(items, "raw", F.from_json("item", "map<string,string>"))
     is_object = F.startswith(F.ltrim(F.col("item")), F.lit("{")) & F.col("raw").isNotNull()
     required, defaults = REQUIRED_FIELDS[kind], DEFAULTS[kind]
     problems = []
@@ -269,7 +288,7 @@ def evidence_items(items: DataFrame, provider: str, kind: str) -> tuple[DataFram
         F.array_except(F.map_keys("raw"), known), lambda name: F.concat(name, F.lit(" (unexpected)"))
     )
     fields = F.array_sort(F.array_distinct(F.concat(F.array_compact(F.array(*problems)), extra)))
-    checked = raw.withColumn("problems", F.when(is_object, fields))
+    checked = with_once(raw, "problems", F.when(is_object, fields))
     row_number = row_number_of(items).alias("row_number")
     rejections = checked.filter(~is_object | (F.size("problems") > 0)).select(
         "source_file",

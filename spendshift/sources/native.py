@@ -24,9 +24,9 @@ from spendshift.functions.money import net_of_credits
 from spendshift.operators.coverage import FOCUS_VERSION, require_focus_version
 from spendshift.periods import Period, in_any
 from spendshift.schemas import COST
-from spendshift.session import settle
+from spendshift.session import settle, with_once
 from spendshift.sources.json_elements import LARGE_FILE
-from spendshift.sources.landing import json_lists, json_values, row_order, small
+from spendshift.sources.landing import first_lines, json_lists, json_values, row_order, small
 
 AWS_COLUMNS = [
     "identity_line_item_id", "bill_payer_account_id", "line_item_usage_account_id",
@@ -62,11 +62,11 @@ def _places(names: Column, columns: Sequence[str]) -> Column:
 
 
 def _split_table(lines: DataFrame) -> DataFrame:
-    """Per split of a file: its filled lines, the number of its first one, that line, and lines with an open quote."""
+    """Per split of a file: its filled lines, the number of its first one, and lines with an open quote."""
     odd = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
     return settle(
         lines.groupBy("source_file", "split").agg(
-            F.count(F.lit(1)).alias("lines"), F.min("row").alias("first_row"), F.min(F.struct("row", "value"))["value"].alias("first_line"),
+            F.count(F.lit(1)).alias("lines"), F.min("row").alias("first_row"),
             F.max((odd % 2).cast("int")).alias("odd"),
         )
     )
@@ -104,9 +104,9 @@ def read_csv(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFram
     numbered = lambda lines: lines.withColumn("row", F.monotonically_increasing_id())
     lines = numbered(texts.filter(F.trim("value") != ""))
     splits = _split_table(lines)
-    header = F.regexp_replace(F.min(F.struct("split", "first_line"))["first_line"], "^\ufeff", "")
-    files = splits.groupBy("source_file").agg(header.alias("header"), (F.max("odd") > 0).alias("open"))
-    files = settle(files)
+    headers = first_lines(lines, splits).select("source_file", F.regexp_replace("value", "^\ufeff", "").alias("header"))
+    files = splits.groupBy("source_file").agg((F.max("odd") > 0).alias("open"))
+    files = settle(files.join(headers, "source_file").select("source_file", "header", "open"))
     told = files.agg(F.max(F.size(F.split("header", ","))).alias("width"), F.coalesce(F.max("open"), F.lit(False)).alias("open")).first()
     generic = ", ".join(f"c{n} string" for n in range(told["width"] or 1))
 
@@ -130,7 +130,7 @@ def read_csv(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFram
         whole = _joined_lines(numbered(texts.join(few.select("source_file"), "source_file"))).join(few, "source_file")
         rows = rows.unionByName(whole.select(*rows.columns))
     # Row 0 is the header.
-    data = rows.filter("row_number > 0").withColumn("fields", fields("value"))
+    data = with_once(rows.filter("row_number > 0"), "fields", fields("value"))
     return data.select(
         *[F.get("fields", F.col("places")[n]).alias(name) for n, name in enumerate(columns)], "source_file",
         row_order("split", "row").alias("seq"), "row_number",
@@ -152,7 +152,7 @@ def read_json_rows(spark: SparkSession, path: str, columns: Sequence[str], large
     lists = json_lists(spark, path, large)
     values = json_values(spark, path, lists)
     held = F.from_json("value", "struct<rows:array<string>,items:array<string>>")
-    listed = values.withColumn("held", held)
+    listed = with_once(values, "held", held)
     filled = F.when(F.size("held.rows") > 0, F.col("held.rows")).when(F.size("held.items") > 0, F.col("held.items"))
     bare = F.col("held.rows").isNull() & F.col("held.items").isNull()
     entries = (
@@ -163,7 +163,7 @@ def read_json_rows(spark: SparkSession, path: str, columns: Sequence[str], large
     if lists is not None:
         exploded = exploded.unionByName(lists)
     objects = exploded.filter(F.startswith(F.ltrim(F.col("entry")), F.lit("{")))
-    parsed = objects.withColumn("r", F.from_json("entry", _texts(columns)))
+    parsed = with_once(objects, "r", F.from_json("entry", _texts(columns)))
     return parsed.select(
         *[F.col(f"r.`{name}`").alias(name) for name in columns],
         "source_file", "line", "position", row_order("line", "position").alias("seq"),
@@ -179,21 +179,20 @@ def read_azure(spark: SparkSession, path: str) -> DataFrame:
         ]
     )
     schema = T.StructType([T.StructField("properties", fields), *fields.fields])
-    documents = json_values(spark, path).withColumn("d", F.from_json("value", schema))
+    documents = with_once(json_values(spark, path), "d", F.from_json("value", schema))
     both = documents.select(
         "source_file",
         "line",
         F.coalesce("d.properties.columns", "d.columns").alias("columns"),
         F.coalesce("d.properties.rows", "d.rows").alias("rows"),
     )
-    return both.select(
+    entries = both.select(
         "source_file", "line",
         F.col("columns.name").alias("names"),
         F.posexplode("rows").alias("position", "entry"),
-    ).select(
-        "source_file", "line", "position", "names",
-        F.from_json("entry", "array<string>").alias("values"),
-        row_order("line", "position").alias("seq"),
+    )
+    return with_once(entries, "values", F.from_json("entry", "array<string>")).select(
+        "source_file", "line", "position", "names", "values", row_order("line", "position").alias("seq"),
     )
 
 
