@@ -7,11 +7,15 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendshift.session import scratch_path
+from spendshift.session import scratch_path, with_once
 from spendshift.workloads.views import cost_rows, data_stamp
 
 _paths: dict[tuple, str] = {}
 
+# Exports are large texts that repeat themselves. They are written compressed, in files of so many rows, each read by one task.
+FILE_ROWS = 250_000
+PACKED = {"compression": "lz4", "maxRecordsPerFile": FILE_ROWS}
+
 
 def forget_written() -> None:
     """Drop the written exports, so the next query writes them anew."""
@@ -67,7 +71,7 @@ def aws_rows(spark, sf) -> DataFrame:
 
 def aws_csv(spark, sf) -> str:
     def write(path):
-        aws_rows(spark, sf).write.option("header", True).option("escape", '"').csv(path)
+        aws_rows(spark, sf).write.options(**PACKED).option("header", True).option("escape", '"').csv(path)
 
     return _written(spark, sf, "aws-csv", write)
 
@@ -81,7 +85,7 @@ def aws_json_lines(spark, sf) -> str:
             F.when(F.col("line_item_usage_account_id") == "acct-1", F.lit('{"items":[')).otherwise(F.lit('{"rows":["stray",')),
             entry, F.lit("]}"),
         )
-        aws_rows(spark, sf).select(document.alias("value")).write.text(path)
+        aws_rows(spark, sf).select(document.alias("value")).write.options(**PACKED).text(path)
 
     return _written(spark, sf, "aws-json", write)
 
@@ -97,28 +101,26 @@ def azure_json_lines(spark, sf) -> str:
     kinds = F.when(F.col("charge_category") == "usage", "Usage").when(
         F.col("charge_category") == "adjustment", "Adjustment"
     ).otherwise("Refund")
-    text = lambda c: F.coalesce(F.get_json_object(F.to_json(F.struct(c.alias("v"))), "$"), F.lit("{}"))
-    quoted = lambda c: F.coalesce(F.regexp_extract(text(c), r'^\{"v":(.*)\}$', 1), F.lit("null"))
     raw = lambda c: F.coalesce(c.cast("string"), F.lit("null"))
-    values = [
-        F.date_format("usage_date", "yyyyMMdd"), raw(F.col("billed_cost")), raw(F.col("effective_cost")),
-        raw(F.col("usage_quantity")), quoted(F.col("service_name")), quoted(F.col("sku_id")),
-        quoted(F.col("resource_id")), quoted(F.col("region_id")), quoted(F.col("billing_account_id")),
-        F.lit('"unit"'), quoted(F.col("currency")), quoted(kinds), quoted(F.to_json("tags")),
-        quoted(F.col("commitment_discount_id")),
+    numbers = [F.date_format("usage_date", "yyyyMMdd"), raw(F.col("billed_cost")), raw(F.col("effective_cost")), raw(F.col("usage_quantity"))]
+    texts = [
+        F.col("service_name"), F.col("sku_id"), F.col("resource_id"), F.col("region_id"), F.col("billing_account_id"),
+        F.lit("unit"), F.col("currency"), kinds, F.to_json("tags"), F.col("commitment_discount_id"),
     ]
-    values = [F.when(v == "", F.lit("null")).otherwise(v) for v in values]
     columns = json.dumps([{"name": name, "type": "String"} for name in AZURE_NAMES])
     reverse = json.dumps([{"name": name, "type": "String"} for name in AZURE_NAMES[::-1]])
-
-    def document(names: str, ordered: list):
-        return F.concat(
-            F.lit(f'{{"properties":{{"columns":{names},"rows":[['), F.concat_ws(",", *ordered), F.lit("]]}}")
-        )
+    even = F.col("seq") % 2 == 0
 
     def write(path):
-        line = F.when(F.col("seq") % 2 == 0, document(columns, values)).otherwise(document(reverse, values[::-1]))
-        _own(spark, sf, "azure").select(line.alias("value")).write.text(path)
+        # The texts of a row are written to JSON once, with a bracket at each end.
+        ordered = F.to_json(F.when(even, F.array(*texts)).otherwise(F.array(*texts[::-1])))
+        rows = with_once(_own(spark, sf, "azure"), "texts", ordered)
+        inner = F.expr("substring(texts, 2, length(texts) - 2)")
+        line = F.concat(
+            F.lit('{"properties":{"columns":'), F.when(even, columns).otherwise(reverse), F.lit(',"rows":[['),
+            F.when(even, F.concat_ws(",", *numbers, inner)).otherwise(F.concat_ws(",", inner, *numbers[::-1])), F.lit("]]}}"),
+        )
+        rows.select(line.alias("value")).write.options(**PACKED).text(path)
 
     return _written(spark, sf, "azure-json", write)
 
@@ -150,7 +152,7 @@ def gcp_rows(spark, sf) -> DataFrame:
 
 def gcp_csv(spark, sf) -> str:
     def write(path):
-        gcp_rows(spark, sf).write.option("header", True).option("escape", '"').csv(path)
+        gcp_rows(spark, sf).write.options(**PACKED).option("header", True).option("escape", '"').csv(path)
 
     return _written(spark, sf, "gcp-csv", write)
 
@@ -159,6 +161,6 @@ def evidence_items(spark, sf, kind: str, frame: DataFrame) -> str:
     """``{"items": [...]}`` documents with one item per line; ``frame`` has the column ``item``."""
 
     def write(path):
-        frame.select(F.concat(F.lit('{"items":['), F.col("item"), F.lit("]}")).alias("value")).write.text(path)
+        frame.select(F.concat(F.lit('{"items":['), F.col("item"), F.lit("]}")).alias("value")).write.options(**PACKED).text(path)
 
     return _written(spark, sf, f"items-{kind}", write)
