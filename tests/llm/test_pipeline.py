@@ -14,7 +14,7 @@ from tokenizers import Tokenizer
 
 import __spark_entry__ as contract
 import corpus_pipeline
-from spendshift.llm import bpe, language
+from spendshift.llm import bpe, language, simhash
 from spendshift.llm.tables import held_out
 from tests.conftest import SMALL
 from tests.llm.test_operators import WORDS, brute_repeats
@@ -126,6 +126,20 @@ def test_stages(spark, source):
         assert b"".join(pieces[i][start] for start in sorted(pieces[i])) == np.array(ids, dtype="<u4").tobytes()
 
 
+def test_near_dedup_links_by_fingerprints_and_by_resemblance(spark):
+    """Texts that repeat one phrase have equal SimHash fingerprints, however few of their 5-word shingles are the same."""
+    phrase, own = ("alpha beta gamma " * 200).strip(), lambda tag: " ".join(f"{tag}{n}" for n in range(12))
+    long = [f"w{n}" for n in range(300)]
+    rows = [
+        (5, f"{phrase} {own('x')}"), (3, f"{phrase} {own('y')}"), (7, " ".join(long)), (8, " ".join([*long[:-9], *"abcdefghi"])),
+        (9, own("z")), (None, own("z")), (None, "alone on its own line"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert simhash.simhash(rows[0][1].encode()) ^ simhash.simhash(rows[1][1].encode()) == 0
+    kept = corpus_pipeline.near_dedup(spark, docs, SMALL).collect()
+    assert sorted(map(repr, (r.doc_id for r in kept))) == sorted(map(repr, [3, 7, 9, None]))
+
+
 def test_run_and_registration(spark):
     assert "pipeline" in contract.queries() and "pipeline" not in contract.oracle_sql()
     assert contract.queries()["pipeline"](spark, SMALL).count() > 0
