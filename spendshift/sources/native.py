@@ -206,6 +206,12 @@ def file_position(rows: DataFrame) -> Column:
 # ------------------------------------------------------------------ normalisation
 
 
+AZURE_COLUMNS = [
+    "UsageDate", "Cost", "CostUSD", "AmortizedCost", "UsageQuantity", "MeterCategory", "ServiceName", "Meter", "MeterSubCategory", "ResourceId",
+    "ResourceLocation", "SubscriptionId", "UnitOfMeasure", "Currency", "ChargeType", "Tags", "ReservationId",
+]
+
+
 def _rows(rows: DataFrame, columns: dict[str, Column]) -> DataFrame:
     position = [name for name in ("seq", "source_file", "line", "position", "row_number") if name in rows.columns]
     named = rows.select(*[c.alias(name) for name, c in columns.items()], *position)
@@ -257,9 +263,13 @@ def aws_costs(rows: DataFrame) -> DataFrame:
 def azure_costs(rows: DataFrame) -> DataFrame:
     """Cost Management rows to cost rows; the column names decide, not their order."""
 
+    # Each wanted value is looked up by its name once a row.
+    places = [F.array_position("names", name).cast("int") for name in AZURE_COLUMNS]
+    picked = F.array(*[F.try_element_at("values", F.nullif(place, F.lit(0))) for place in places])
+    rows = with_once(rows, "picked", picked)
+
     def c(name: str) -> Column:
-        place = F.array_position("names", name).cast("int")
-        return F.try_element_at("values", F.nullif(place, F.lit(0)))
+        return F.get("picked", F.lit(AZURE_COLUMNS.index(name)))
 
     resource = P.first_filled(c("ResourceId"))
     cost = P.amount(c("Cost"), P.amount(c("CostUSD")))
