@@ -36,6 +36,18 @@ def test_candidates_are_known_to_be_small(spark):
     assert size < 10 << 20
 
 
+def test_known_ids_are_read_in_one_pass(spark, tmp_path):
+    listed = "finding_id string, provider string, affected_resources array<string>"
+    told = spark.createDataFrame(
+        [("f1", "aws", ["res-1", "res-9", None]), ("f2", "gcp", ["res-1"]), ("f3", "azure", ["res-2", "azure:x"])], listed)
+    known = spark.createDataFrame(
+        [("aws", "res-1"), ("aws", "res-1"), ("aws", None), ("azure", None), (None, "res-9")], "provider string, resource_id string")
+    known.write.parquet(str(tmp_path / "known"))
+    found = findings.unknown_resources(told, spark.read.parquet(str(tmp_path / "known"))).select("finding_id", "resource_id")
+    assert sorted(map(tuple, found.collect())) == [("f1", "res-9"), ("f3", "res-2")]
+    assert "FileScan parquet" not in plan_of(found)
+
+
 def cost_frame(spark, rows):
     """Cost rows of (provider, service, seq), all else null but the amounts and the description."""
     told = spark.createDataFrame(rows, "provider string, service_name string, seq long")
