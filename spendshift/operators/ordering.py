@@ -42,5 +42,6 @@ def with_position(
         *group,
         (F.coalesce(F.sum("__rows").over(before), F.lit(0)) - F.col("__first")).alias("__shift"),
     )
-    joined = numbered.join(starts, [_SLICE, *group])
+    # Without groups there is one row a slice, so the rows need not be dealt again.
+    joined = numbered.join(starts if group else F.broadcast(starts), [_SLICE, *group])
     return joined.withColumn(name, F.col(_ROW) + F.col("__shift")).drop(_ROW, _SLICE, "__shift")

@@ -48,6 +48,13 @@ def test_known_ids_are_read_in_one_pass(spark, tmp_path):
     assert "FileScan parquet" not in plan_of(found)
 
 
+def test_positions_without_groups_need_no_second_deal(spark):
+    rows = spark.range(100).select((F.col("id") * 37 % 100).alias("v"))
+    placed = with_position(rows, [], [F.col("v")])
+    assert "SortMergeJoin" not in plan_of(placed) and "BroadcastHashJoin" in plan_of(placed)
+    assert all(row.v == row.position for row in placed.collect())
+
+
 def cost_frame(spark, rows):
     """Cost rows of (provider, service, seq), all else null but the amounts and the description."""
     told = spark.createDataFrame(rows, "provider string, service_name string, seq long")
