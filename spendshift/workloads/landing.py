@@ -380,7 +380,10 @@ SELECT provider, count(*) AS rows, CAST(sum(billed_cost) AS DOUBLE) AS billed_co
 def k1_atomic(spark, sf):
     """The same on versioned snapshots; a write of one slot that fails in the middle changes nothing."""
     snapshots = SnapshotStore(spark, scratch_path(spark, "snapshots"))
-    costs = cost_rows(spark, sf)
+    # Seven writes read these rows; their parts and suppliers are looked up (and broadcast) once.
+    landed = scratch_path(spark, "landed")
+    cost_rows(spark, sf).write.parquet(landed)
+    costs = spark.read.parquet(landed)
     for provider in PROVIDERS:
         snapshots.replace(slot_key("d1", provider, "cost"), costs.filter((F.col("provider") == provider) & (F.col("seq") % 2 == 0)))
     for provider in PROVIDERS:

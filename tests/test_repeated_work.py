@@ -63,3 +63,10 @@ def cost_frame(spark, rows):
     return told.select(*[
         (F.col(f.name) if f.name in told.columns else own.get(f.name, F.lit(1 if f.name.endswith(("_cost", "_quantity")) else None)))
         .cast(f.dataType).alias(f.name) for f in fields])
+
+
+def test_snapshot_writes_look_parts_up_once(spark, monkeypatch):
+    read, real = [], SnapshotStore.replace
+    monkeypatch.setattr(SnapshotStore, "replace", lambda self, key, rows: read.extend(rows.inputFiles()) or real(self, key, rows))
+    assert len(QUERIES["k1_atomic_slot_replace"](spark, SF).collect()) == 3
+    assert read and not [name for name in read if name.endswith("part.parquet") or "supplier" in name]
