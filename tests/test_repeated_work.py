@@ -65,6 +65,28 @@ def cost_frame(spark, rows):
         .cast(f.dataType).alias(f.name) for f in fields])
 
 
+def test_rollup_leaves_unread_texts_out_of_its_shuffle(spark):
+    rolled = rollup.daily_rollup(cost_frame(spark, [("aws", "a", 2), ("aws", "a", 1), ("aws", "b", None), ("aws", "b", 3)]))
+    narrow = rolled.select("service_name", "seq", "billed_cost")
+    assert "charge_description" not in plan_of(narrow)
+    assert sorted((r.service_name, r.seq, int(r.billed_cost)) for r in narrow.collect()) == [("a", 1, 2), ("b", None, 2)]
+    assert sorted((r.seq or 0, r.charge_description) for r in rolled.collect()) == [(0, None), (1, "d1")]
+
+
+def test_scans_are_bounded_and_never_raised(spark):
+    name = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, "128m")
+        prepare(spark)
+        assert int(spark.conf.get(name)) == SCAN_BYTES
+        spark.conf.set(name, "4m")
+        prepare(spark)
+        assert spark.conf.get(name) == "4m"
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_snapshot_writes_look_parts_up_once(spark, monkeypatch):
     read, real = [], SnapshotStore.replace
     monkeypatch.setattr(SnapshotStore, "replace", lambda self, key, rows: read.extend(rows.inputFiles()) or real(self, key, rows))
