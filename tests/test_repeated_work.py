@@ -87,6 +87,19 @@ def test_scans_are_bounded_and_never_raised(spark):
         spark.conf.set(name, before)
 
 
+@pytest.mark.parametrize("slots", [3, 12])
+def test_slots_are_written_side_by_side(spark, tmp_path, monkeypatch, slots):
+    writers, real = [], DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, *args: writers.append(int(spark.conf.get(store._WRITERS))) or real(self, *args))
+    before = spark.conf.get(store._WRITERS)
+    rows = spark.range(240).select(F.concat(F.lit("p"), (F.col("id") % slots).cast("string")).alias("provider"), "id")
+    store.replace_slot(rows, str(tmp_path / "s"), "d1", "cost")
+    store.replace_slot(rows.filter("provider = 'p1'"), str(tmp_path / "s"), "d1", "cost")
+    assert min(writers) >= store.OPEN_SLOTS and spark.conf.get(store._WRITERS) == before
+    held = store.read_slots(spark, str(tmp_path / "s"), "d1").select("provider", "id")
+    assert sorted(map(tuple, held.collect())) == sorted(map(tuple, rows.collect()))
+
+
 def test_snapshot_writes_look_parts_up_once(spark, monkeypatch):
     read, real = [], SnapshotStore.replace
     monkeypatch.setattr(SnapshotStore, "replace", lambda self, key, rows: read.extend(rows.inputFiles()) or real(self, key, rows))
