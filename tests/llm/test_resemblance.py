@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from spendshift.llm import resemblance
+from spendshift.llm import resemblance, simhash
 from tests.llm.test_operators import sentence
 
 
@@ -96,3 +96,12 @@ def test_planted_pairs_above_a_common_template(spark):
     rows = templates(5, [(200, 24, 1_000, 8)])
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted((r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()), key=repr) == brute_kept(rows)
+
+
+def test_nodes_and_fingerprints_come_from_one_python_pass(spark):
+    texts = ["a b c d e", "a  b c d e", "A B c d f", "", None, "one two"]
+    docs = spark.createDataFrame([(i % 3, text) for i, text in enumerate(texts)], "doc_id long, text string")
+    found = simhash.fingerprints(docs, named=resemblance.node)
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    apart = simhash.fingerprints(resemblance.with_nodes(docs, name="node"), id_col="node")
+    assert sorted((bytes(r.doc_id), r.print) for r in found.collect()) == sorted((bytes(r.doc_id), r.print) for r in apart.collect())
