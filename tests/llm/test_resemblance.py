@@ -105,3 +105,21 @@ def test_nodes_and_fingerprints_come_from_one_python_pass(spark):
     assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
     apart = simhash.fingerprints(resemblance.with_nodes(docs, name="node"), id_col="node")
     assert sorted((bytes(r.doc_id), r.print) for r in found.collect()) == sorted((bytes(r.doc_id), r.print) for r in apart.collect())
+
+
+def test_crowded_groups_by_both_kinds_of_links(spark):
+    """Among texts of 0.79 some fingerprints differ in three bits or fewer; those link as well."""
+    rows = templates(1, [(200, 26, 60, 10), (200, 24, 60, 3)])
+    sets = [resemblance.shingles(t.encode()) for _, t in rows]
+    prints = [simhash.simhash(t.encode()) for _, t in rows]
+    group, by_print = list(range(len(rows))), 0
+    for a in range(len(rows)):
+        for b in range(a):
+            alike, near = resemblance.resemblance(sets[a], sets[b]) >= 0.8, (prints[a] ^ prints[b]).bit_count() <= 3
+            by_print += near and not alike
+            if alike or near:
+                old, new = group[a], group[b]
+                group = [new if g == old else g for g in group]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect())
+    assert by_print and kept == sorted(set(group))
