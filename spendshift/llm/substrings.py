@@ -67,12 +67,32 @@ def _smallest(values: np.ndarray, length: int) -> np.ndarray:
     places, size = np.arange(len(values)), 1
     while size < length:
         step = min(size, length - size)
-        one, other = places[:-step], places[step:]
-        places = np.where(values[one] <= values[other], one, other)
+        one, other = values[:-step], values[step:]
+        places = np.where(one <= other, places[:-step], places[step:])
+        values = np.minimum(one, other)
         size += step
     return places
 
 
+def _least(values: np.ndarray, length: int) -> np.ndarray:
+    """The smallest of each ``length`` consecutive values; by doubling."""
+    size = 1
+    while size < length:
+        step = min(size, length - size)
+        values = np.minimum(values[:-step], values[step:])
+        size += step
+    return values
+
+
+def _turns(*columns: np.ndarray) -> np.ndarray:
+    """Marks the places where one of the columns differs from the place before."""
+    turns = np.zeros(len(columns[0]), dtype=bool)
+    turns[:1] = True
+    for column in columns:
+        turns[1:] |= column[1:] != column[:-1]
+    return turns
+
+
 def _named(hashes: np.ndarray, lengths: list[int], *wanted: int) -> list[np.ndarray]:
     """For every full window of a text the hash of the part it names, at each wanted level."""
     words, first = lengths[-1], lengths[0]
@@ -95,12 +115,13 @@ def _distinct_parts(texts: list[np.ndarray], lengths: list[int]) -> list[np.ndar
     """The distinct first-level parts of each text of a run, found in one pass over all its words."""
     place = np.concatenate(([0], np.cumsum([len(one) for one in texts])))
     rows, at = _windows(place, lengths[-1])
-    (named,) = _named(np.concatenate(texts), lengths, 0)
-    named = named[at]
+    # The first-level part of a window is the one with the smallest hash, and neighbours mostly share it.
+    named = _least(window_hashes(np.concatenate(texts), lengths[0]), lengths[-1] - lengths[0] + 1).view(np.int64)[at] if len(at) else at
+    some = _turns(rows, named)
+    rows, named = rows[some], named[some]
     order = np.lexsort((named, rows))
     rows, named = rows[order], named[order]
-    fresh = np.ones(len(rows), dtype=bool)
-    fresh[1:] = (rows[1:] != rows[:-1]) | (named[1:] != named[:-1])
+    fresh = _turns(rows, named)
     rows, named = rows[fresh], named[fresh]
     return np.split(named, np.searchsorted(rows, np.arange(1, len(texts))))
 
@@ -146,7 +167,8 @@ def _extended(lengths: list[int], level: int):
                 hashes = table.of(_bytes_of(texts, row).split())
                 wanted = batch.column(3)[row].values.to_numpy(zero_copy_only=False)
                 before, named = _named(hashes, lengths, level - 1, level)
-                parts.append(np.unique(named[np.isin(before, wanted)]))
+                some = _turns(before, named)
+                parts.append(np.unique(named[some][np.isin(before[some], wanted)]))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(parts, pa.list_(pa.int64()))], ["row", "doc_id", "parts"]
             )
@@ -165,10 +187,13 @@ def _full_windows(lengths: list[int]):
                 words = _bytes_of(texts, row).split()
                 wanted = batch.column(3)[row].values.to_numpy(zero_copy_only=False)
                 level = max(len(lengths) - 2, 0)
-                starts = np.flatnonzero(np.isin(_named(table.of(words), lengths, level)[0], wanted))
+                (named,) = _named(table.of(words), lengths, level)
+                some = _turns(named)
+                starts = np.flatnonzero(np.isin(named[some], wanted)[np.cumsum(some) - 1])
                 joined = memoryview(b" ".join(words))
-                ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1
-                begins = ends - np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+                sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+                ends = np.cumsum(sizes + 1) - 1
+                begins = ends - sizes
                 for cut in range(0, len(starts), 1 << 16):
                     some = starts[cut : cut + (1 << 16)]
                     spans = zip(begins[some].tolist(), ends[some + lengths[-1] - 1].tolist(), strict=True)
@@ -268,7 +293,10 @@ def drop_repeats(docs: DataFrame, words: int = 50, id_col: str = "doc_id", text_
         if surviving.isEmpty():
             break
 
-    windows = open_to.mapInArrow(_full_windows(lengths), f"row long, doc_id {kind}, window binary, start int")
+    # Digests are made once and written: they are read for the earliest documents and again for the later ones.
+    path = scratch_path(spark, "windows")
+    open_to.mapInArrow(_full_windows(lengths), f"row long, doc_id {kind}, window binary, start int").write.parquet(path)
+    windows = spark.read.parquet(path)
     earliest = settle(
         windows.groupBy("window").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("window", "low")
     )

@@ -1,6 +1,7 @@
 """Substring dedup: levels, colliding word bytes, other id types."""
 
 import random
+import uuid
 
 import numpy as np
 import pytest
@@ -57,3 +58,45 @@ def test_levels_end_where_nothing_survives(spark):
     shared = sentence(3, 20)
     docs = spark.createDataFrame([(n, f"{sentence(10 + n, 40)} {shared} {sentence(50 + n, 40)}") for n in range(6)], "doc_id long, text string")
     assert {r.n_removed for r in substrings.drop_repeats(docs).collect()} == {0}
+
+
+def test_windows_are_digested_once(spark, tmp_path, monkeypatch):
+    """Both the earliest documents and the later ones are found from one pass over the texts."""
+    made, folder = substrings._full_windows, str(tmp_path)
+
+    def counted(lengths):
+        run = made(lengths)
+
+        def counting(batches):
+            for batch in run(batches):
+                with open(f"{folder}/{uuid.uuid4().hex}", "w") as file:
+                    file.write(str(batch.num_rows))
+                yield batch
+
+        return counting
+
+    monkeypatch.setattr(substrings, "_full_windows", counted)
+    shared = sentence(9, 60)
+    docs = spark.createDataFrame([(n, f"{sentence(10 + n, 5)} {shared} {sentence(50 + n, 5)}") for n in range(3)], "doc_id long, text string")
+    assert sorted(r.n_removed for r in substrings.drop_repeats(docs).collect()) == [0, 60, 60]
+    # A text of 70 words has 21 windows.
+    assert 3 * 11 <= sum(int(file.read_text()) for file in tmp_path.iterdir()) <= 3 * 21
+
+
+@pytest.mark.parametrize("length", [1, 2, 5, 38, 100])
+def test_smallest_of_consecutive_values(length):
+    values = np.random.default_rng(length).integers(0, 9, 100).astype(np.uint64)
+    spans = [values[at : at + length] for at in range(len(values) - length + 1)]
+    assert substrings._smallest(values, length).tolist() == [at + int(span.argmin()) for at, span in enumerate(spans)]
+    assert substrings._least(values, length).tolist() == [int(span.min()) for span in spans]
+
+
+@pytest.mark.parametrize("words", [2, 17, 50])
+def test_distinct_parts_of_a_run_of_texts(words):
+    """Texts shorter than a window, empty, of one word only, and equal neighbours."""
+    rnd, lengths = np.random.default_rng(words), substrings.levels(words)
+    one = rnd.integers(0, 4, 200).astype(np.uint64)
+    texts = [one[:0], one[: words - 1], one, one, np.zeros(3 * words, dtype=np.uint64), one[50 : 50 + words], one[:0]]
+    wanted = [np.unique(substrings._named(text, lengths, 0)[0]).tolist() for text in texts]
+    assert [part.tolist() for part in substrings._distinct_parts(texts, lengths)] == wanted
+    assert [part.tolist() for part in substrings._distinct_parts(texts[:2], lengths)] == [[], []]
