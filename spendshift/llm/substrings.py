@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,14 +39,17 @@ FIRST_LEVEL = 16
 
 
 class WordHashes(dict):
-    """64-bit BLAKE2 hashes of words; the table stops growing at ``most`` words."""
+    """XXH64 hashes of words; the table stops growing at ``most`` words.
+
+    Words that collide only make more parts to look at: windows are compared by their words' digests.
+    """
 
     def __init__(self, most: int = 150_000) -> None:
         super().__init__()
         self.most = most
 
     def __missing__(self, word: bytes) -> int:
-        value = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        value = xxhash.xxh64_intdigest(word)
         if len(self) < self.most and len(word) <= 48:
             self[word] = value
         return value
